@@ -42,15 +42,16 @@ def nearest(ratio: Column, within: float, names: tuple[str, ...] = tuple(CONVERS
     return F.when((ratio > 0) & (far["d"] <= within), far["n"])
 
 
-def parse_reading(c: Column) -> Column:
-    """Struct of a reading's text: v, its number (null unless there is exactly one), dec, its decimals, and unit, null if untold.
+def with_reading(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with what a reading's text holds: v, its number (null unless there is exactly one), exact, the same as a decimal, dec, its decimals, and unit, null if untold.
 
     Points and commas are decimal marks; '1,234.5' holds two and is no number. A circumference without a unit is in centimetres.
     """
-    s = F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
-    number = F.regexp_extract(s, r"(\d+(?:[.,]\d+)?)", 1)
-    rest = F.regexp_replace(s, r"\d+(?:[.,]\d+)?", " ")
-    alone = (F.length(number) > 0) & (F.size(F.regexp_extract_all(s, F.lit(r"(\d+(?:[.,]\d+)?)"), F.lit(1))) == 1) & ~s.rlike(r"[-−]\s*\d") & ~s.rlike(r"[.,]\d+[.,]|\d[.,]\d+[.,]\d")
+    df = df.withColumn("_s", F.lower(F.trim(text))).withColumn("_n", F.regexp_replace(F.regexp_extract("_s", r"^[^\d−-]*(\d+(?:[.,]\d+)?)\D*$", 1), ",", "."))
+    df = df.withColumn("v", F.col("_n").try_cast("double")).where(F.col("v") > 0)
+    df = df.withColumn("_rest", F.trim(F.translate("_s", "0123456789", " ")))
+    rest = F.col("_rest")
+    told_by = rest.rlike("[^., ]")
     length = (
         F.when(rest.rlike(r"\bmm\b|mil[ií]metro"), "mm")
         .when(rest.rlike(r"\bcms?\b|cent[ií]metro"), "cm")
@@ -58,14 +59,9 @@ def parse_reading(c: Column) -> Column:
         .when(rest.rlike(r"\bmt?s?\b|metro"), "m")
     )
     around = rest.rlike(r"\bcap\b|circ|per[ií]m|contorno|\bc\s*=|c_a_p")
-    unit = F.when(around, F.concat(F.lit("circ_"), F.coalesce(length, F.lit("cm")))).otherwise(length)
-    plain = F.regexp_replace(number, ",", ".")
-    return F.struct(
-        F.when(alone, plain.try_cast("double")).alias("v"),
-        F.when(alone, plain.try_cast("decimal(18,6)")).alias("exact"),
-        F.when(alone, F.greatest(F.lit(0), F.length(F.regexp_extract(plain, r"\.(\d+)$", 1)))).alias("dec"),
-        F.when(alone, unit).alias("unit"),
-    )
+    df = df.withColumn("_l", F.when(told_by, length)).withColumn("unit", F.when(told_by & around, F.concat(F.lit("circ_"), F.coalesce("_l", F.lit("cm")))).otherwise(F.col("_l")))
+    point = F.locate(".", F.col("_n"))
+    return df.withColumns({"exact": F.col("_n").try_cast("decimal(18,6)"), "dec": F.when(point > 0, F.length("_n") - point).otherwise(0)}).drop("_s", "_n", "_rest", "_l")
 
 
 def told(field: Column, mode: Column, remark: Column) -> Column:
@@ -88,11 +84,11 @@ def _readings(tree: DataFrame, dirty: DataFrame, config: DataFrame) -> DataFrame
     """Readings above 0 with what links them: implied is the diameter in metres by volume, height and form factor."""
     cc = config.select(F.col("censo_id").alias("_cc"), "form_factor")
     t = tree.select("fid", F.col("censo_id").alias("censo_id"), "codigo", "especie", "dap_m", "altura_m", "volumen_m3")
-    d = dirty.select(F.col("fid").alias("_fid"), parse_reading(F.col("dap_txt")).alias("_r")).where(F.col("_r.v") > 0)
+    d = with_reading(dirty.select(F.col("fid").alias("_fid"), "dap_txt"), "dap_txt")
     rows = t.join(d, F.col("fid") == F.col("_fid")).join(cc, F.col("censo_id") == F.col("_cc"), "left")
     ok = (F.col("altura_m") > 0) & (F.col("altura_m") <= 45) & (F.col("volumen_m3") > 0) & (F.col("volumen_m3") <= 200) & (F.col("form_factor") > 0)
     implied = F.sqrt(F.col("volumen_m3") / (F.lit(math.pi / 4) * F.col("altura_m") * F.col("form_factor")))
-    return rows.select("fid", "censo_id", "codigo", "especie", "dap_m", "_r.v", "_r.exact", "_r.dec", "_r.unit", F.when(ok, implied).alias("implied"))
+    return rows.select("fid", "censo_id", "codigo", "especie", "dap_m", "v", "exact", "dec", "unit", F.when(ok, implied).alias("implied"))
 
 
 def source_graph(readings: DataFrame, config: DataFrame) -> DataFrame:
@@ -188,7 +184,7 @@ def diameters(tree: DataFrame, dirty: DataFrame, config: DataFrame) -> DataFrame
     per = F.when(F.col("_u") == "mm", F.lit("1")).when(F.col("_u") == "cm", F.lit("10")).when(F.col("_u") == "m", F.lit("1000")).when(F.col("_u") == "in", F.lit("25.4")).cast("decimal(8,2)")
     exact = F.col("exact") * per
     mm = F.coalesce(exact.cast("double"), F.col("v") / conversion(F.col("_u")) * 1000)
-    whole = F.coalesce(F.round(exact, 0).cast("long"), F.round(F.col("v") / conversion(F.col("_u")) * 1000, 0).cast("long"))
+    whole = F.coalesce(F.round(exact, 0).cast("long"), F.floor(F.col("v") / conversion(F.col("_u")) * 1000 + 0.5))
     return linked.withColumn("_u", unit).select("fid", "censo_id", "dap_m", mm.alias("dap_mm"), whole.alias("dap_redondo"), F.col("_u").alias("unidad"), "via")
 
 
