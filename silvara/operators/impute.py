@@ -1,7 +1,7 @@
 """Problem 1: missing measurements filled from similar trees by hierarchical group statistics.
 
-Values are counted on a fixed grid of values before any shuffle, and coarse groups are rolled up from the counts of finer
-ones; no group of rows is ever gathered in one task: what a task sees of a group is its distinct grid values with their counts.
+Medians are taken over values on a fixed grid, so each partition sends of a group its distinct steps with their counts, before
+any shuffle; no group of rows is ever gathered in one task, however large it is.
 """
 
 from __future__ import annotations
@@ -42,39 +42,34 @@ FINEST = ("_c", "_e", "_d", "_m")
 FIELDS = ("altura_m", "volumen_m3", "volumen_calculado")
 
 
-def _cells(tree: DataFrame, cfg: FillConfig) -> DataFrame:
-    """One row per tree and field: its group keys and its value as a step of the grid, null where it is missing."""
+def _keyed(tree: DataFrame, cfg: FillConfig) -> DataFrame:
+    """fid, the group keys of each tree, and its three values as steps of their grids, null where they are missing."""
     dap = F.when(~F.isnan("dap_m") & (F.col("dap_m") > 0) & (F.col("dap_m") <= 3.5), F.floor(F.col("dap_m") * 10))
     height, volume = F.col("altura_m"), F.col("volumen_m3")
-    steps = (
-        F.when(usable(height, LIMITS["altura_m"]), F.round(height / cfg.height_step)),
-        F.when(usable(volume, LIMITS["volumen_m3"]), F.floor(F.log(volume) / math.log(1 + cfg.volume_step))),
-        F.col("volumen_calculado"),
-    )
-    values = F.array(*[F.struct(F.lit(i).alias("campo"), g.cast("int").alias("g")) for i, g in enumerate(steps)])
-    keys = [
+    return tree.select(
+        "fid",
         F.coalesce(F.col("censo_id"), F.lit(-1).cast("long")).alias("_c"),
         F.coalesce(F.trim(F.lower(F.translate("especie", ACCENTED + "ñÑ", PLAIN + "nn"))), F.lit("")).alias("_e"),
         F.coalesce(dap, F.lit(-1)).cast("int").alias("_d"),
         F.coalesce(F.year("registrado_ts") * 100 + F.month("registrado_ts"), F.lit(-1)).alias("_m"),
-    ]
-    cells = tree.select("fid", *keys, F.explode(values).alias("_x"))
-    return cells.select("fid", *FINEST, F.col("_x.campo").alias("campo"), F.col("_x.g").alias("g"))
+        F.when(usable(height, LIMITS["altura_m"]), F.floor(height / cfg.height_step + 0.5)).cast("int").alias("_altura_m"),
+        F.when(usable(volume, LIMITS["volumen_m3"]), F.floor(F.log(volume) / math.log(1 + cfg.volume_step))).cast("int").alias("_volumen_m3"),
+        F.col("volumen_calculado").cast("int").alias("_volumen_calculado"),
+    )
 
 
-def _center() -> Column:
-    """Median step of the counted values; for the flag the more frequent value, true on a tie."""
-    share = F.sum(F.col("g") * F.col("n")) / F.sum("n")
-    return F.when(F.first("campo") == 2, F.when(share >= 0.5, 1.0).otherwise(0.0)).otherwise(F.expr("percentile(g, 0.5, n)"))
+def _statistics(rows: DataFrame, keys: tuple[str, ...], level: int, support: int) -> DataFrame:
+    """One row per group: for each field a struct of its median step (for the flag the more frequent value, true on a tie) and support, null below the least support."""
+    middle = {f: F.expr(f"percentile(_{f}, 0.5)") for f in LIMITS} | {"volumen_calculado": F.round(F.avg("_volumen_calculado"))}
+    out = rows.groupBy(*keys).agg(*[x for f in FIELDS for x in (middle[f].cast("double").alias(f"_x{f}"), F.count(f"_{f}").alias(f"_n{f}"))])
+    least = support if keys else 1
+    pick = [F.when(F.col(f"_n{f}") >= least, F.struct(F.col(f"_x{f}").alias("step"), F.lit(level).alias("nivel"), F.col(f"_n{f}").alias("soporte"))).alias(f"_{level}{f}") for f in FIELDS]
+    return out.select(*keys, *pick)
 
 
-def _value(cfg: FillConfig) -> Column:
-    """A step of the grid as a value of its field."""
-    return (
-        F.when(F.col("campo") == 0, F.col("_p.step") * cfg.height_step)
-        .when(F.col("campo") == 1, F.pow(F.lit(1 + cfg.volume_step), F.col("_p.step") + 0.5))
-        .otherwise(F.col("_p.step"))
-    )
+def _value(f: str, step: Column, cfg: FillConfig) -> Column:
+    """A step of a field's grid as a value."""
+    return {"altura_m": step * cfg.height_step, "volumen_m3": F.pow(F.lit(1 + cfg.volume_step), step + 0.5)}.get(f, step)
 
 
 def fill_cells(tree: DataFrame, cfg: FillConfig = FillConfig()) -> DataFrame:
@@ -85,22 +80,17 @@ def fill_cells(tree: DataFrame, cfg: FillConfig = FillConfig()) -> DataFrame:
     Null keys form groups of their own. An empty table gives no rows; a field without any usable value gives its
     cells no row, as nothing can fill them. Extra columns are ignored.
     """
-    scanned = cut(_cells(tree, cfg).drop("fid"))
-    known = scanned.where(F.col("g").isNotNull())
-    groups = scanned.where(F.col("g").isNull()).select("campo", *FINEST).distinct()
-    counts = {keys: known.groupBy("campo", *keys, "g").agg(F.count("*").alias("n")) for keys in LEVELS}
-    # Coarse groups are rolled up from the counts of finer ones.
-    for coarse, fine in ((("_e",), ("_e", "_d")), (("_c",), ("_c", "_e")), ((), ("_m",))):
-        counts[coarse] = counts[fine].groupBy("campo", *coarse, "g").agg(F.sum("n").alias("n"))
+    rows = cut(_keyed(tree, cfg).drop("fid"))
+    lacking = F.greatest(*[F.col(f"_{f}").isNull() for f in FIELDS])
+    groups = rows.where(lacking).select(*FINEST).distinct()
     for i, keys in enumerate(LEVELS):
-        stats = counts[keys].groupBy("campo", *keys).agg(_center().alias("step"), F.sum("n").alias("soporte"))
-        stats = stats.where(F.col("soporte") >= (cfg.support if keys else 1)).select("campo", *keys, F.struct("step", F.lit(i).alias("nivel"), "soporte").alias(f"_p{i}"))
-        groups = groups.join(stats, ["campo", *keys], "left")
-    resolved = groups.select("campo", *FINEST, F.coalesce(*[f"_p{i}" for i in range(len(LEVELS))]).alias("_p")).where(F.col("_p").isNotNull())
+        stats = _statistics(rows, keys, i, cfg.support)
+        groups = groups.join(stats, list(keys), "left") if keys else groups.join(F.broadcast(stats), how="left")  # one row
+    resolved = groups.select(*FINEST, *[F.coalesce(*[f"_{i}{f}" for i in range(len(LEVELS))]).alias(f"_p{f}") for f in FIELDS])
     incomplete = ~usable(F.col("altura_m"), LIMITS["altura_m"]) | ~usable(F.col("volumen_m3"), LIMITS["volumen_m3"]) | F.col("volumen_calculado").isNull()
-    missing = _cells(tree.where(incomplete), cfg).where(F.col("g").isNull()).drop("g")
-    name = F.element_at(F.array(*map(F.lit, FIELDS)), F.col("campo") + 1)
-    return missing.join(resolved, ["campo", *FINEST]).select("fid", name.alias("campo"), _value(cfg).alias("valor"), "_p.nivel", "_p.soporte")
+    missing = _keyed(tree.where(incomplete), cfg).join(resolved, list(FINEST))
+    cells = [F.when(F.col(f"_{f}").isNull() & F.col(f"_p{f}").isNotNull(), F.struct(F.lit(f).alias("campo"), _value(f, F.col(f"_p{f}.step"), cfg).alias("valor"), F.col(f"_p{f}.nivel").alias("nivel"), F.col(f"_p{f}.soporte").alias("soporte"))) for f in FIELDS]
+    return missing.select("fid", F.explode(F.array_compact(F.array(*cells))).alias("_x")).select("fid", "_x.campo", "_x.valor", "_x.nivel", "_x.soporte")
 
 
 def fill_table(tree: DataFrame, cfg: FillConfig = FillConfig()) -> DataFrame:
