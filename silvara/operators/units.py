@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from silvara.runtime import cut, small
+
 # Reading per metre of diameter.
 CONVERSIONS = {
     "m": 1.0,
@@ -85,7 +87,7 @@ def _readings(tree: DataFrame, dirty: DataFrame, config: DataFrame) -> DataFrame
     cc = config.select(F.col("censo_id").alias("_cc"), "form_factor")
     t = tree.select("fid", F.col("censo_id").alias("censo_id"), "codigo", "especie", "dap_m", "altura_m", "volumen_m3")
     d = with_reading(dirty.select(F.col("fid").alias("_fid"), "dap_txt"), "dap_txt")
-    rows = t.join(d, F.col("fid") == F.col("_fid")).join(cc, F.col("censo_id") == F.col("_cc"), "left")
+    rows = t.join(d, F.col("fid") == F.col("_fid")).join(small(cc), F.col("censo_id") == F.col("_cc"), "left")
     ok = (F.col("altura_m") > 0) & (F.col("altura_m") <= 45) & (F.col("volumen_m3") > 0) & (F.col("volumen_m3") <= 200) & (F.col("form_factor") > 0)
     implied = F.sqrt(F.col("volumen_m3") / (F.lit(math.pi / 4) * F.col("altura_m") * F.col("form_factor")))
     return rows.select("fid", "censo_id", "codigo", "especie", "dap_m", "v", "exact", "dec", "unit", F.when(ok, implied).alias("implied"))
@@ -122,13 +124,13 @@ def source_graph(readings: DataFrame, config: DataFrame) -> DataFrame:
     )
     first = F.when(F.col("links") >= 5, nearest(F.col("scale"), SNAP_SOURCE))
     second = F.when(F.col("links2") >= 3, nearest(F.col("scale2"), SNAP_SOURCE))
-    nodes = base.select(
+    nodes = cut(base.select(
         "censo_id", "told",
         F.coalesce(first, second).alias("unit"),
         F.when(first.isNotNull(), F.col("scale")).when(second.isNotNull(), F.col("scale2")).alias("scale"),
         F.when(first.isNotNull(), F.col("links")).when(second.isNotNull(), F.col("links2")).alias("links"),
         F.when(first.isNotNull(), "volumen").when(second.isNotNull(), "rotulo").alias("via"),
-    )
+    ))
     # Passing on: sizes of species in resolved sources, in metres, against the same species in the rest.
     known = nodes.where(F.col("unit").isNotNull()).select("censo_id", conversion(F.col("unit")).alias("_k"))
     metres = sizes.join(known, "censo_id").groupBy("especie").agg((F.sum(F.col("size") / F.col("_k") * F.col("trees")) / F.sum("trees")).alias("_d"))
@@ -159,9 +161,9 @@ def diameters(tree: DataFrame, dirty: DataFrame, config: DataFrame) -> DataFrame
     Readings that are null, no number, zero or negative give no row, nor do those whose ``fid`` has no tree; empty tables give none.
     Extra columns are ignored.
     """
-    rows = _readings(tree, dirty, config)
-    sources = source_graph(rows, config).select(F.col("censo_id").alias("_s"), F.col("unit").alias("_su"), "via")
-    joined = rows.join(sources, F.col("censo_id").eqNullSafe(F.col("_s")), "left").withColumn("_k", conversion(F.coalesce("_su", F.lit("cm"))))
+    rows = cut(_readings(tree, dirty, config))
+    sources = cut(source_graph(rows, config)).select(F.col("censo_id").alias("_s"), F.col("unit").alias("_su"), "via")
+    joined = rows.join(small(sources), F.col("censo_id").eqNullSafe(F.col("_s")), "left").withColumn("_k", conversion(F.coalesce("_su", F.lit("cm"))))
     d = F.col("v") / F.col("_k")
     odd = (d < LEAST) | (d > MOST) | ((F.col("dec") == 0) & (F.col("_su") == "cm") & (F.col("v") >= 175))
     doubtful = F.col("unit").isNull() & F.col("implied").isNull() & odd & F.col("codigo").isNotNull()
