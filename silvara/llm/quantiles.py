@@ -27,13 +27,13 @@ def merge_sketches(df: DataFrame, groups: list[str], k: int = COMPACTOR) -> Data
     return df.groupBy(*groups).agg(F.sum("n").alias("n"), F.kll_merge_agg_double(F.col("sketch"), F.lit(k)).alias("sketch"))
 
 
-def at_rank(sketch: Column, q: Column) -> Column:
-    return F.kll_sketch_get_quantile_double(sketch, F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)))
+def at_rank(sketch: Column, q: float) -> Column:
+    return F.kll_sketch_get_quantile_double(sketch, F.lit(min(max(q, 0.0), 1.0)))
 
 
 def percentiles(df: DataFrame, groups: list[str], value: str, qs: tuple[float, ...]) -> DataFrame:
     """``groups``, ``n`` and p<q> for each q in percent, approximate within RANK_ERROR of rank."""
-    return sketches(df, groups, value).select(*groups, "n", *[at_rank(F.col("sketch"), F.lit(q)).alias(f"p{round(q * 100)}") for q in qs])
+    return sketches(df, groups, value).select(*groups, "n", *[at_rank(F.col("sketch"), q).alias(f"p{round(q * 100)}") for q in qs])
 
 
 def _exact(rows: DataFrame, doubt: DataFrame, groups: list[str], value: str, low: float, high: float, bracketed: bool) -> DataFrame:
@@ -67,7 +67,7 @@ def spread_groups(df: DataFrame, groups: list[str], value: str, threshold: Colum
     """
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*groups, value)
     n, s = F.col("n"), F.col("sketch")
-    slack = F.lit(RANK_ERROR) + 1 / n
+    slack = RANK_ERROR + 1 / least  # one row more or less of the smallest group
     answers = sketches(rows, groups, value).where(n >= least).select(
         *groups, "n", threshold.alias("_t"),
         at_rank(s, low - slack).alias("_a0"), at_rank(s, low + slack).alias("_a1"), at_rank(s, high - slack).alias("_b0"), at_rank(s, high + slack).alias("_b1"),
