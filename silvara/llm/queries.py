@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvara.llm import gazetteer, lexicon, lookalike, quantiles, topn
+from silvara.llm import gazetteer, leakage, lexicon, lookalike, quantiles, reading, topn
 from silvara.runtime import small
 from silvara.sources import table
 
@@ -71,6 +71,16 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.encode_corpus(table(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that speak passages of test items."""
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Reading level of every unlabelled document that speaks enough."""
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_forms": p2_forms,
@@ -80,6 +90,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_trees": p7_trees,
     "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p10_found": p10_found,
 }
 
 SQL = {
