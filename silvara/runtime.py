@@ -45,6 +45,18 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if n <= limit else df
 
 
+def hashed_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows of ``df`` (all if it has fewer), at most a fifth more: those whose hashed key is small.
+
+    The same rows at every run and layout. Only the chosen rows leave their partitions.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    share = F.shiftrightunsigned(F.xxhash64(key), 33) < F.lit(int(rows / n * 2**31))
+    return df.where(share).limit(rows + rows // 5)
+
+
 def ship(df: DataFrame) -> DataFrame:
     """Make this package importable in the Python workers of all executors; returns ``df``. Done once for a session."""
     sc = df.sparkSession.sparkContext
