@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silvara.llm import speech
-from silvara.runtime import cut, ship
+from silvara.runtime import cut, hashed_sample, ship
 
 #: Words of a passage, steps between the passages of a document and of an item. A shared run of PASSAGE + DOC_STEP - 1 words holds a whole passage of the document.
 PASSAGE, DOC_STEP, ITEM_STEP = 16, 5, 4
@@ -29,7 +29,7 @@ RUN = 20
 SKIPPED, KEPT, EVEN = 24, 64, 0.5
 #: Cosine from which two passages are candidates; measured, the closest passages of linked pairs reach 0.91 or more.
 CLOSE = 0.75
-#: Documents whose passages fit the SVD at most: those with the smallest hashed ids. All documents are searched.
+#: Documents, about, whose passages fit the SVD, chosen by hashed id. All documents are searched.
 FIT_DOCS = 3_000
 #: Test items at most: their passages go to all executors.
 MOST_ITEMS = 20_000
@@ -248,7 +248,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_ke
     for w, c in counted:
         df[w] = c
     idf = np.log((max(df.max(), 1) + 1) / (df + 1)) + 1.0
-    sample = table.orderBy(F.xxhash64(key), key).limit(FIT_DOCS).select("n").unionByName(spark.createDataFrame([([number[w] for w in ws],) for _, ws in said], "n array<int>")).repartition(8)
+    sample = hashed_sample(table, key, FIT_DOCS).select("n").unionByName(spark.createDataFrame([([number[w] for w in ws],) for _, ws in said], "n array<int>")).repartition(8)
     latent = latent_weights(cut(sample), idf)
     weights = np.vstack([latent, np.zeros((1, latent.shape[1]), dtype=np.float32)])
     coded = [(k, [number[w] for w in ws]) for k, ws in said]

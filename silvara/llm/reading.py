@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from silvara.llm import speech
 from silvara.llm.boosting import Boosted
-from silvara.runtime import ship, small
+from silvara.runtime import hashed_sample, ship, small
 
-#: Labelled documents that the model is fitted on at most: those with the smallest hashed ids.
+#: Labelled documents, about, that the model is fitted on, chosen by hashed id.
 FIT_DOCS = 6_000
 #: Documents with at most so many spoken words have no level.
 LEAST_WORDS = 40
@@ -127,8 +127,8 @@ def fit(x: np.ndarray, y: np.ndarray, source: np.ndarray, folds: int = 5) -> Gra
 
 
 def fit_levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", level: str = "nivel", docs_at_most: int = FIT_DOCS) -> GradeModel | None:
-    """The model of the labelled documents; null if there are none. At most ``docs_at_most`` labelled documents reach the driver, as feature rows."""
-    chosen = labels.where(F.col(level).isNotNull()).orderBy(F.xxhash64(key), key).limit(docs_at_most).select(key, level)
+    """The model of the labelled documents; null if there are none. About ``docs_at_most`` labelled documents reach the driver, as feature rows."""
+    chosen = hashed_sample(labels.where(F.col(level).isNotNull()), key, docs_at_most).select(key, level)
     rows = feature_table(docs.join(small(chosen), key).withColumn("_source", F.coalesce("source", F.lit("?"))), key=key, also=(level, "_source")).orderBy(F.xxhash64(key)).toPandas()
     if not len(rows):
         return None
