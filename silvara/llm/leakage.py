@@ -48,6 +48,7 @@ class Vocabulary:
             for d in self._deletions(w):
                 self.index[d].append(i)
         self.words = words
+        self.longest = max(map(len, words), default=0)
         self.known = dict(self.number)
 
     @staticmethod
@@ -57,6 +58,8 @@ class Vocabulary:
 
     def misread(self, w: bytes) -> int:
         best, found = 99, -1
+        if len(w) > self.longest + 2:
+            return -1
         for d in self._deletions(w):
             for i in self.index.get(d, ()):
                 n = slips(w, self.words[i])
