@@ -81,8 +81,7 @@ def smoothed_lines(s: SparkSession, d: str) -> DataFrame:
 
 def _assigned(s: SparkSession, d: str) -> DataFrame:
     trees = view(s, d, "puntos").select(F.xxhash64(*KEY).alias("key"), "x", "y", F.expr(f"({VOLUME}) / 100000.0").cast("double").alias("v"))
-    sites = view(s, d, "patios").withColumn("bloque", F.lit(0))
-    return allocation.assign(trees, sites, 150.0, 350.0)
+    return allocation.assign(trees, view(s, d, "patios"), 150.0, 350.0)
 
 
 def yard_invariants(s: SparkSession, d: str) -> DataFrame:
@@ -204,6 +203,12 @@ SQL = {
         (coalesce((select z from dem n where n.r = m.r and n.c = m.c + 1), m.z) - coalesce((select z from dem n where n.r = m.r and n.c = m.c - 1), m.z)) / ((case when m.c in (0, 63) then 1 else 2 end) * 30.0::double) as gx,
         (coalesce((select z from dem n where n.r = m.r + 1 and n.c = m.c), m.z) - coalesce((select z from dem n where n.r = m.r - 1 and n.c = m.c), m.z)) / ((case when m.r in (0, 63) then 1 else 2 end) * 30.0::double) as gy from dem m)
         select r, c, round_even(ln(greatest(abs(1 + r), 1) * 30.0::double / greatest(sqrt(gx * gx + gy * gy), 0.001)), 6) as twi from g""",
+    "zone_cells": """
+        with e as (select zona_id, ring[i] as a, ring[i % len(ring) + 1] as b from (select zona_id, ring, unnest(range(1, len(ring) + 1)) as i from zones)),
+        box as (select zona_id, cast(floor(min(a.x) / 10) as bigint) as c0, cast(floor(max(a.x) / 10) as bigint) as c1, cast(floor(min(a.y) / 10) as bigint) as r0, cast(floor(max(a.y) / 10) as bigint) as r1 from e group by zona_id),
+        k as (select zona_id, unnest(range(c0, c1 + 1)) as c, r0, r1 from box), g as (select zona_id, c, unnest(range(r0, r1 + 1)) as r from k),
+        m as (select zona_id, r, c, (c + 0.5::double) * 10 as x, (r + 0.5::double) * 10 as y from g)
+        select zona_id, r, c from m join e using (zona_id) where (a.y > y) <> (b.y > y) and x < a.x + (y - a.y) * (b.x - a.x) / (b.y - a.y) group by zona_id, r, c having count(*) % 2 = 1""",
     "drainage": f"{ctes('dem')}, {_DRAIN} select * from drena",
     "flow_accumulation": f"{ctes('dem')}, {_DRAIN}, w as (select r as r0, c as c0, r, c from drena union all select w.r0, w.c0, d.nr, d.nc from w join drena d on w.r = d.r and w.c = d.c where d.nr is not null) select r, c, count(*) as acumulacion from w group by r, c",
     "hand": f"{ctes('dem')}, {_DRAIN}, w as (select r as r0, c as c0, r, c from drena union all select w.r0, w.c0, d.nr, d.nc from w join drena d on w.r = d.r and w.c = d.c where d.nr is not null and w.c <> 32), e as (select r0, c0, e.z from w join dem e on w.r = e.r and w.c = e.c where w.c = 32) select m.r, m.c, round_even(greatest(m.z - e.z, 0.0), 6) as hand from dem m left join e on m.r = e.r0 and m.c = e.c0",

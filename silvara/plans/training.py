@@ -40,7 +40,8 @@ def p4_diameters(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_filled": p1_filled, "p3_found": p3_found, "p4_found": p4_found, "p4_diameters": p4_diameters}
 
-#: p1_found and p3_found as plain SQL; p3's is a brute-force join of the positions, so it is for small tables only.
+#: p3's twin joins all positions by a bound on one coordinate and tries every zone whose box holds a tree.
+_EDGES = "select zona_id, ring[i] as a, ring[i % len(ring) + 1] as b from (select zona_id, ring, unnest(range(1, len(ring) + 1)) as i from zones)"
 SQL = {
     "p1_found": """
         select fid, 'altura_m' as campo from tree where not coalesce(not isnan(altura_m) and altura_m > 0 and altura_m <= 45, false)
@@ -49,4 +50,12 @@ SQL = {
         union all
         select fid, 'volumen_calculado' from tree where volumen_calculado is null
     """,
+    "p3_found": f"""
+        with p as (select fid, cast(round(x * 100) as bigint) as px, cast(round(y * 100) as bigint) as py from tree where not isnan(x) and not isnan(y) and not (x = 0 and y = 0)),
+        e as ({_EDGES}), box as (select zona_id, min(a.x) as x0, max(a.x) as x1, min(a.y) as y0, max(a.y) as y1 from e group by zona_id),
+        near as (select fid, px / 100.0::double as x, py / 100.0::double as y, zona_id from p join box on px / 100.0::double between x0 and x1 and py / 100.0::double between y0 and y1)
+        select 'arbol' as tipo, s.fid as id_a, t.fid as id_b from p s join p t on t.px between s.px - 250 and s.px + 250 and s.fid < t.fid and (s.px - t.px) * (s.px - t.px) + (s.py - t.py) * (s.py - t.py) <= 62500
+        union all
+        select 'zona', fid, zona_id from near join e using (zona_id) where (a.y > y) <> (b.y > y) and x < a.x + (y - a.y) * (b.x - a.x) / (b.y - a.y) group by fid, zona_id having count(*) % 2 = 1
+    """,
 }

@@ -100,7 +100,7 @@ def test_zone_cells_by_brute_force(spark):
 
 def test_assignment_keeps_capacity(spark):
     trees = spark.createDataFrame([(i, float(i), 0.0, 10.0) for i in range(30)] + [(99, 900.0, 0.0, 1.0)], "key long, x double, y double, v double")
-    sites = spark.createDataFrame([(1, 0.0, 0.0, 0), (2, 25.0, 0.0, 0)], "patio_id long, px double, py double, bloque int")
+    sites = spark.createDataFrame([(1, 0.0, 0.0), (2, 25.0, 0.0)], "patio_id long, px double, py double")
     out = allocation.assign(trees, sites, 20.0, 100.0).collect()
     assert len(out) == 31 and max(sum(1 for r in out if r.patio_id == p) for p in (1, 2)) == 10 and all(r.dist <= 20 for r in out if r.patio_id > 0)
     assert {r.patio_id for r in out if r.key == 99} == {-1}
