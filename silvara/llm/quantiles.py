@@ -7,6 +7,8 @@ probability, so a ratio of percentiles lies between two answers; only groups who
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,12 +38,19 @@ def percentiles(df: DataFrame, groups: list[str], value: str, qs: tuple[float, .
     return sketches(df, groups, value).select(*groups, "n", *[at_rank(F.col("sketch"), q).alias(f"p{round(q * 100)}") for q in qs])
 
 
+def _joined(left: DataFrame, right: DataFrame, groups: list[str], how: str = "inner") -> DataFrame:
+    """Join on the groups, where null equals null; the groups come from the left."""
+    other = right.withColumnsRenamed({g: f"_r_{g}" for g in groups})
+    match = reduce(lambda a, b: a & b, [left[g].eqNullSafe(other[f"_r_{g}"]) for g in groups])
+    return left.join(other, match, how).drop(*[f"_r_{g}" for g in groups])
+
+
 def _exact(rows: DataFrame, doubt: DataFrame, groups: list[str], value: str, low: float, high: float, bracketed: bool) -> DataFrame:
     """Exact percentiles of the groups in doubt: ``groups``, _low, _high; null where a bracket missed.
 
     Values outside the brackets are counted only; values inside are counted by value before they are shuffled.
     """
-    joined = rows.join(small(doubt), groups)
+    joined = _joined(rows, small(doubt), groups)
     v = F.col(value)
     side = (
         F.when(v < F.col("_a0"), 0).when(v <= F.col("_a1"), 1).when(v < F.col("_b0"), 2).when(v <= F.col("_b1"), 3).otherwise(4)
@@ -62,7 +71,7 @@ def _exact(rows: DataFrame, doubt: DataFrame, groups: list[str], value: str, low
 def spread_groups(df: DataFrame, groups: list[str], value: str, threshold: Column, least: int = 40, low: float = 0.5, high: float = 0.9) -> DataFrame:
     """Groups of at least ``least`` values whose ``high`` percentile is at least ``threshold`` (of the group's columns) times the ``low`` one.
 
-    Percentile q of n values is the ceil(q*n)-th smallest. Values must be above 0; null and NaN are left out. The sketch decides the groups
+    Percentile q of n values is the ceil(q*n)-th smallest. Values must be above 0; null and NaN are left out; null groups are groups. The sketch decides the groups
     that it can; the rest are decided exactly, so the result does not depend on the sketch's chance.
     """
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*groups, value)
@@ -82,6 +91,6 @@ def spread_groups(df: DataFrame, groups: list[str], value: str, threshold: Colum
     missed = found.where(F.col("_low").isNull() | F.col("_high").isNull()).select(*groups)
     exact = found
     if missed.limit(1).count():
-        exact = found.join(missed, groups, "left_anti").unionByName(_exact(rows, doubt.join(missed, groups, "left_semi"), groups, value, low, high, False))
-    kept = exact.join(doubt.select(*groups, "_t"), groups).where(F.col("_high") >= F.col("_t") * F.col("_low")).select(*groups)
+        exact = _joined(found, missed, groups, "left_anti").unionByName(_exact(rows, _joined(doubt, missed, groups, "left_semi"), groups, value, low, high, False))
+    kept = _joined(exact, doubt.select(*groups, "_t"), groups).where(F.col("_high") >= F.col("_t") * F.col("_low")).select(*groups)
     return sure.unionByName(kept)

@@ -33,8 +33,9 @@ def test_spread_groups_are_exact(spark):
         for _ in range(rng.choice([39, 40, 41, 200, 3000])):
             rows.append((g, round(rng.lognormvariate(0, 1.08), 1) + 0.1))
     rows += [(100, None)] * 50 + [(101, float("nan"))] * 50 + [(102, 1.0)] * 80
+    rows += [(None, v) for v in [1.0] * 36 + [4.0] * 9]  # 45 values, the 41st of which is exactly four times the 23rd
     df = spark.createDataFrame(rows, "g long, v double")
-    want = set()
+    want = {None}
     for g in range(60):
         v = sorted(x for k, x in rows if k == g)
         if len(v) >= 40 and v[-(-9 * len(v) // 10) - 1] >= 4.0 * v[-(-len(v) // 2) - 1]:
