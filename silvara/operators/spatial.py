@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from silvara.runtime import ship
+
 
 def _cell(v: Column, side: float) -> Column:
     return F.floor(v / side).cast("long")
@@ -33,19 +39,27 @@ def within(points: DataFrame, sites: DataFrame, radius: float, x: str = "x", y:
 def nearest(points: DataFrame, sites: DataFrame, key: str, site: str, most_sites: int = 50_000) -> DataFrame:
     """Nearest site of each point, the smaller id on a tie. ``points`` has key, x, y; ``sites`` has site, px, py.
 
-    The sites, whose number is checked, travel as one array of structs; each point folds over it. No pairs are made.
+    The sites, whose number is checked, go to all executors; each batch of points is compared with them as arrays. No pairs are made as rows.
     """
-    n = sites.count()
-    if n > most_sites:
-        raise ValueError(f"{n} sites are more than {most_sites}; use within() with a radius")
-    every = sites.agg(F.array_sort(F.collect_list(F.struct(F.col(site).alias("s"), "px", "py"))).alias("_sites"))
-    start = F.struct(F.lit(float("inf")).alias("d2"), F.lit(None).cast(sites.schema[site].dataType).alias("s"))
-
-    def step(acc: Column, p: Column) -> Column:
-        d2 = squared(F.col("x"), F.col("y"), p["px"], p["py"])
-        return F.when(d2 < acc["d2"], F.struct(d2.alias("d2"), p["s"].alias("s"))).otherwise(acc)
-
-    return points.join(F.broadcast(every)).select(key, F.aggregate("_sites", start, step).alias("_b")).select(key, F.col("_b.s").alias(site), F.col("_b.d2").alias("d2"))
+    rows = sites.select(site, "px", "py").limit(most_sites + 1).collect()
+    if len(rows) > most_sites:
+        raise ValueError(f"more than {most_sites} sites; use within() with a radius")
+    rows.sort()
+    ids, sx, sy = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=float), np.array([r[2] for r in rows], dtype=float)
+    step = max(1, 4_000_000 // max(1, len(rows)))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), step):
+                c = b.iloc[at : at + step]
+                dx, dy = c["x"].to_numpy()[:, None] - sx, c["y"].to_numpy()[:, None] - sy
+                d2 = dx * dx + dy * dy
+                best = d2.argmin(1)
+                yield pd.DataFrame({key: c[key].to_numpy(), site: [ids[i] for i in best], "d2": d2[np.arange(len(c)), best]})
+
+    kinds = f"{key} {points.schema[key].dataType.simpleString()}, {site} {sites.schema[site].dataType.simpleString()}, d2 double"
+    real = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)").select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return ship(real if rows else real.limit(0)).mapInPandas(find, kinds)
 
 
 def segment_distance2(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
