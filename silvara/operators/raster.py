@@ -68,12 +68,17 @@ def role_surfaces(layers: DataFrame) -> DataFrame:
     return layers.groupBy("rol", "r", "c").agg(F.max(F.bround(v, 6)).alias("valor"))
 
 
-def rasterize(polygons: DataFrame, key: str, ring: str, cell: float) -> DataFrame:
-    """Cells (r, c) whose centre lies in a polygon, by rows: the crossings of a row's centre line with the edges, in order, bound the runs of cells."""
+def _ring_edges(polygons: DataFrame, key: str, ring: str) -> DataFrame:
+    """key, x0, y0, x1, y1 of each side of a ring of three corners or more."""
     p = F.col(ring)
-    n = F.size(p)
-    edges = polygons.where(n >= 3).select(key, F.posexplode(ring).alias("i", "a"), p.alias("_p"))
-    edges = edges.select(key, F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.element_at("_p", F.pmod(F.col("i") + 1, F.size("_p")) + 1).alias("b")).select(key, "x0", "y0", F.col("b.x").alias("x1"), F.col("b.y").alias("y1")).where("y0 <> y1")
+    edges = polygons.where(F.size(p) >= 3).select(key, F.posexplode(ring).alias("i", "a"), p.alias("_p"))
+    edges = edges.select(key, F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.element_at("_p", F.pmod(F.col("i") + 1, F.size("_p")) + 1).alias("b"))
+    return edges.select(key, "x0", "y0", F.col("b.x").alias("x1"), F.col("b.y").alias("y1"))
+
+
+def rasterize(polygons: DataFrame, key: str, ring: str, cell: float) -> DataFrame:
+    """Cells (r, c) whose centre lies in a polygon, by rows: the crossings of a row's centre line with the edges, in order, bound the runs of cells."""
+    edges = _ring_edges(polygons, key, ring).where("y0 <> y1")
     low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
     first, last = F.ceil(low / cell - 0.5), F.ceil(high / cell - 0.5) - 1
     rows = edges.where(first <= last).withColumn("r", F.explode(F.sequence(first, last)))
@@ -84,6 +89,28 @@ def rasterize(polygons: DataFrame, key: str, ring: str, cell: float) -> DataFram
     return spans.select(key, "r", F.explode(F.sequence("s.a", "s.b")).alias("c")).distinct()
 
 
+def rasterize_touched(polygons: DataFrame, key: str, ring: str, cell: float) -> DataFrame:
+    """Cells (r, c) whose square a polygon touches: those that its sides pass through, and those inside, which the centre test finds.
+
+    A square has its lower and left sides and not the others, so each point lies in one cell.
+    """
+    edges = _ring_edges(polygons, key, ring)
+    up = F.col("y0") <= F.col("y1")
+    edges = edges.select(key, *[F.when(up, F.col(f"{v}{i}")).otherwise(F.col(f"{v}{1 - i}")).alias(f"{v}{i}") for v in "xy" for i in (0, 1)])
+    rows = edges.withColumn("r", F.explode(F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))))
+    tall = F.col("y1") - F.col("y0")
+
+    def at(y: Column, end: Column) -> Column:
+        return F.coalesce(F.col("x0") + F.try_divide((y - F.col("y0")) * (F.col("x1") - F.col("x0")), tall), end)
+
+    top = (F.col("r") + 1) * cell
+    onward = F.col("y1") >= top  # the side goes on in the next row: its place there is not of this one
+    rows = rows.select(key, "r", at(F.greatest("y0", F.col("r") * cell), F.col("x0")).alias("a"), at(F.least("y1", top), F.col("x1")).alias("b"), onward.alias("_o"))
+    last = F.when(F.col("_o") & (F.col("b") > F.col("a")), F.greatest(F.ceil(F.col("b") / cell) - 1, F.floor(F.col("a") / cell))).otherwise(F.floor(F.greatest("a", "b") / cell))
+    rim = rows.select(key, "r", F.explode(F.sequence(F.floor(F.least("a", "b") / cell), last)).alias("c"))
+    return rasterize(polygons, key, ring, cell).unionByName(rim).distinct()
+
+
 def slope_cost(slope: Column, limit: float, weight: float = 1.0, steep: float = 25.0) -> Column:
     """1 + w (s / limit)^2, times ``steep`` above the limit."""
     s = slope / max(limit, 0.1)

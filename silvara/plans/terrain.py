@@ -123,6 +123,7 @@ QUERIES = {
     "cost_surface": cost_surface,
     "wetness_index": lambda s, d: raster.wetness_index(_dem(s, d), _dem(s, d).select("r", "c", (1 + F.col("r")).alias("acumulacion")), CELL),
     "zone_cells": lambda s, d: raster.rasterize(table(s, d, "zones"), "zona_id", "ring", 10.0),
+    "zone_cells_touched": lambda s, d: raster.rasterize_touched(table(s, d, "zones"), "zona_id", "ring", 10.0),
     "drainage": _drains,
     "flow_accumulation": lambda s, d: flow.accumulation(_drains(s, d)),
     "hand": lambda s, d: flow.height_above_drainage(_dem(s, d), _drains(s, d), _channel(s, d)),

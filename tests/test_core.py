@@ -4,6 +4,7 @@ import heapq
 import json
 import math
 import zipfile
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,36 @@ def test_zone_cells_by_brute_force(spark):
     assert got == {(r, c) for r in range(12) for c in range(12) if inside((c + 0.5) * 5, (r + 0.5) * 5)}
 
 
+def test_touched_cells_of_thin_and_small_polygons(spark):
+    shapes = {
+        1: [(1.0, 5.5), (29.0, 5.5), (29.0, 7.0), (1.0, 7.0)],  # a strip between two centre lines
+        2: [(11.0, 11.0), (12.0, 11.0), (12.0, 12.0)],  # smaller than a cell
+        3: [(3.0, 2.0), (47.0, 9.0), (41.0, 44.0), (25.0, 21.0), (8.0, 39.0)],
+        4: [(10.0, 10.0), (20.0, 10.0), (20.0, 20.0), (10.0, 20.0)],  # along cell borders
+        5: [(-7.0, -3.0), (13.0, 17.0), (-2.0, 14.0)],
+    }
+    df = spark.createDataFrame([(k, [dict(x=x, y=y) for x, y in ring]) for k, ring in shapes.items()], "k long, ring array<struct<x:double,y:double>>")
+    got = {(r.k, r.r, r.c) for r in raster.rasterize_touched(df, "k", "ring", 5.0).collect()}
+
+    def meets(ring, r, c):
+        """Whether a side passes through the half-open square, by clipping it in fractions, or the centre lies inside."""
+        odd, px, py = False, (c + 0.5) * 5, (r + 0.5) * 5
+        for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1]):
+            if (y0 > py) != (y1 > py) and px < x0 + (py - y0) * (x1 - x0) / (y1 - y0):
+                odd = not odd
+            cuts = {Fraction(0), Fraction(1)}
+            for p, q, k in ((x0, x1, c), (y0, y1, r)):
+                cuts |= {t for v in (5 * k, 5 * k + 5) if p != q and 0 <= (t := (v - Fraction(p)) / (Fraction(q) - Fraction(p))) <= 1}
+            cuts = sorted(cuts)
+            for t in cuts + [(a + b) / 2 for a, b in zip(cuts, cuts[1:])]:
+                if (math.floor((Fraction(x0) + t * (Fraction(x1) - Fraction(x0))) / 5), math.floor((Fraction(y0) + t * (Fraction(y1) - Fraction(y0))) / 5)) == (c, r):
+                    return True
+        return odd
+
+    assert got == {(k, r, c) for k, ring in shapes.items() for r in range(-3, 12) for c in range(-3, 12) if meets(ring, r, c)}
+    assert {(r, c) for k, r, c in got if k == 1} == {(1, c) for c in range(6)} and not raster.rasterize(df.where("k < 3"), "k", "ring", 5.0).count()
+
+
 def test_assignment_keeps_capacity(spark):
     trees = spark.createDataFrame([(i, float(i), 0.0, 10.0) for i in range(30)] + [(99, 900.0, 0.0, 1.0)], "key long, x double, y double, v double")
     sites = spark.createDataFrame([(1, 0.0, 0.0), (2, 25.0, 0.0)], "patio_id long, px double, py double")
