@@ -102,21 +102,34 @@ def _turn(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column
     return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
 
 
-def crossing_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, side: float = 500.0) -> DataFrame:
-    """Pairs of segments that cross in a point inside both. Each segment has a key and x1, y1, x2, y2."""
+def _on(cx: Column, cy: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Whether a point in line with a segment lies between its ends."""
+    return cx.between(F.least(ax, bx), F.greatest(ax, bx)) & cy.between(F.least(ay, by), F.greatest(ay, by))
+
+
+def crossing_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, side: float = 500.0, proper: bool = False) -> DataFrame:
+    """Pairs of segments that meet, be it in an end or along a stretch; ``proper``: only those that cross in a point inside both. Each segment has a key and x1, y1, x2, y2."""
     names = ("x1", "y1", "x2", "y2")
-    left = segment_cells(a.select(key_a, *names), side).select("_gx", "_gy", key_a, *[F.col(c).alias(f"a{c}") for c in names])
-    right = segment_cells(b.select(key_b, *names), side).select("_gx", "_gy", key_b, *[F.col(c).alias(f"b{c}") for c in names])
+    margin = 0.0 if proper else 1e-6  # a point that two segments share may lie on the border of cells
+    left = segment_cells(a.select(key_a, *names), side, margin).select("_gx", "_gy", key_a, *[F.col(c).alias(f"a{c}") for c in names])
+    right = segment_cells(b.select(key_b, *names), side, margin).select("_gx", "_gy", key_b, *[F.col(c).alias(f"b{c}") for c in names])
     p = [F.col(c) for c in ("ax1", "ay1", "ax2", "ay2", "bx1", "by1", "bx2", "by2")]
-    cross = (_turn(*p[:4], *p[4:6]) * _turn(*p[:4], *p[6:]) < 0) & (_turn(*p[4:], *p[:2]) * _turn(*p[4:], *p[2:4]) < 0)
+    turns = [_turn(*p[:4], *p[4:6]), _turn(*p[:4], *p[6:]), _turn(*p[4:], *p[:2]), _turn(*p[4:], *p[2:4])]
+    cross = (turns[0] * turns[1] < 0) & (turns[2] * turns[3] < 0)
+    if not proper:
+        for turn, end, line in zip(turns, (p[4:6], p[6:], p[:2], p[2:4]), (p[:4], p[:4], p[4:], p[4:])):
+            cross = cross | ((turn == 0) & _on(*end, *line))
     return left.join(right, ["_gx", "_gy"]).where(cross).select(key_a, key_b, *[f"a{c}" for c in names], *[f"b{c}" for c in names]).dropDuplicates([key_a, key_b])
 
 
 def crossing_points(pairs: DataFrame, key_a: str, key_b: str) -> DataFrame:
-    """Where the segments of ``crossing_pairs`` cross."""
+    """Where the segments of ``crossing_pairs`` meet; of a stretch in common the middle."""
     x1, y1, x2, y2, x3, y3, x4, y4 = (F.col(c) for c in ("ax1", "ay1", "ax2", "ay2", "bx1", "by1", "bx2", "by2"))
-    t = ((x1 - x3) * (y3 - y4) - (y1 - y3) * (x3 - x4)) / ((x1 - x2) * (y3 - y4) - (y1 - y2) * (x3 - x4))
-    return pairs.select(key_a, key_b, F.bround(x1 + t * (x2 - x1), 4).alias("este"), F.bround(y1 + t * (y2 - y1), 4).alias("norte"))
+    t = F.try_divide((x1 - x3) * (y3 - y4) - (y1 - y3) * (x3 - x4), (x1 - x2) * (y3 - y4) - (y1 - y2) * (x3 - x4))
+    ends = [F.struct(x.alias("x"), y.alias("y")) for x, y in ((x1, y1), (x2, y2), (x3, y3), (x4, y4))]
+    low, high = F.greatest(F.least(*ends[:2]), F.least(*ends[2:])), F.least(F.greatest(*ends[:2]), F.greatest(*ends[2:]))
+    este, norte = [F.coalesce(u + t * (v - u), (low[c] + high[c]) / 2) for u, v, c in ((x1, x2, "x"), (y1, y2, "y"))]
+    return pairs.select(key_a, key_b, F.bround(este, 4).alias("este"), F.bround(norte, 4).alias("norte"))
 
 
 def weighted_centers(df: DataFrame, group: str, x: Column, y: Column, w: Column) -> DataFrame:

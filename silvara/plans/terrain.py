@@ -31,9 +31,9 @@ def riparian_class(s: SparkSession, d: str) -> DataFrame:
     return spatial.strip_class(view(s, d, "puntos"), _segments(s, d), KEY, "ancho", 200.0)
 
 
-def _crossings(s: SparkSession, d: str) -> DataFrame:
+def _crossings(s: SparkSession, d: str, proper: bool = True) -> DataFrame:
     t = view(s, d, "tramos").select("sid", "x1", "y1", "x2", "y2")
-    return spatial.crossing_pairs(t, t.withColumnRenamed("sid", "sid2"), "sid", "sid2").where("sid < sid2")
+    return spatial.crossing_pairs(t, t.withColumnRenamed("sid", "sid2"), "sid", "sid2", proper=proper).where("sid < sid2")
 
 
 def ring_snap(s: SparkSession, d: str) -> DataFrame:
@@ -114,6 +114,8 @@ QUERIES = {
     "riparian_volume": lambda s, d: riparian_class(s, d).join(view(s, d, "puntos"), KEY).groupBy("ancho").agg(F.count("*").alias("n"), F.sum(F.expr(VOLUME)).alias("volumen")),
     "crossing_pairs": lambda s, d: _crossings(s, d).select("sid", "sid2"),
     "crossing_points": lambda s, d: spatial.crossing_points(_crossings(s, d), "sid", "sid2"),
+    "meeting_pairs": lambda s, d: _crossings(s, d, False).select("sid", "sid2"),
+    "meeting_points": lambda s, d: spatial.crossing_points(_crossings(s, d, False), "sid", "sid2"),
     "weighted_centroid": lambda s, d: spatial.weighted_centers(view(s, d, "puntos"), "especie", F.floor(F.col("x") * 100 + 0.5), F.floor(F.col("y") * 100 + 0.5), F.col("dap_cm")),
     "segment_azimuth": lambda s, d: view(s, d, "tramos").select("sid", F.bround(spatial.azimuth(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), 6).alias("azimut"), floor_lookup(F.col("sid") % 6, WIDTHS, ABOVE).alias("ancho")),
     "ring_snap": ring_snap,
@@ -161,6 +163,13 @@ _CROSS = f"from tramos a join tramos b on a.sid < b.sid and {_turn(_A1, _A2, _B1
 _CT = "((a.x1 - b.x1) * (b.y1 - b.y2) - (a.y1 - b.y1) * (b.x1 - b.x2)) / ((a.x1 - a.x2) * (b.y1 - b.y2) - (a.y1 - a.y2) * (b.x1 - b.x2))"
 
 
+def _touch(a: tuple[str, str], b: tuple[str, str], c: tuple[str, str]) -> str:
+    return f"({_turn(a, b, c)} = 0 and {c[0]} between least({a[0]}, {b[0]}) and greatest({a[0]}, {b[0]}) and {c[1]} between least({a[1]}, {b[1]}) and greatest({a[1]}, {b[1]}))"
+
+
+_MEET = f"from tramos a join tramos b on a.sid < b.sid and ({_turn(_A1, _A2, _B1)} * {_turn(_A1, _A2, _B2)} < 0 and {_turn(_B1, _B2, _A1)} * {_turn(_B1, _B2, _A2)} < 0 or {_touch(_A1, _A2, _B1)} or {_touch(_A1, _A2, _B2)} or {_touch(_B1, _B2, _A1)} or {_touch(_B1, _B2, _A2)})"
+
+
 def _z(dr: int, dc: int) -> str:
     return f"coalesce((select n.z from dem n where n.r = m.r + {dr} and n.c = m.c + {dc}), m.z)"
 
@@ -186,6 +195,7 @@ SQL = {
     "riparian_volume": f"{ctes('puntos', 'tramos')}, f as ({_STRIP}) select ancho, count(*) as n, cast(sum({VOLUME}) as bigint) as volumen from f join puntos using ({KEYS}) group by ancho",
     "crossing_pairs": f"{ctes('tramos')} select a.sid, b.sid as sid2 {_CROSS}",
     "crossing_points": f"{ctes('tramos')} select a.sid, b.sid as sid2, round_even(a.x1 + {_CT} * (a.x2 - a.x1), 4) as este, round_even(a.y1 + {_CT} * (a.y2 - a.y1), 4) as norte {_CROSS}",
+    "meeting_pairs": f"{ctes('tramos')} select a.sid, b.sid as sid2 {_MEET}",
     "weighted_centroid": f"{ctes('puntos')} select especie, cast(sum(dap_cm) as bigint) as peso, round_even(sum(dap_cm * cast(floor(x * 100 + 0.5) as bigint))::double / sum(dap_cm), 4) as cx, round_even(sum(dap_cm * cast(floor(y * 100 + 0.5) as bigint))::double / sum(dap_cm), 4) as cy from puntos group by especie",
     "segment_azimuth": f"{ctes('tramos')} select sid, round_even(((degrees(atan2(x2 - x1, y2 - y1)) + 360) % 360 + 360) % 360, 6) as azimut, cast({_W} as double) as ancho from tramos",
     "ring_snap": f"""{ctes('patios')}, o as (select 0 as ring, 0 as i, 0.0::double as ox, 0.0::double as oy union all

@@ -84,6 +84,26 @@ def test_rings_and_directions(spark):
     assert one(spark, spatial.azimuth(F.lit(-1.0), F.lit(0.0)))[0] == 270.0
 
 
+def test_segments_that_touch_meet(spark):
+    a = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 0.0), (2, 500.0, 100.0, 500.0, 900.0)], "ka long, x1 double, y1 double, x2 double, y2 double")
+    rows = [
+        (1, 4.0, -3.0, 4.0, 5.0, 4.0, 0.0),  # crosses
+        (2, 3.0, 0.0, 3.0, 7.0, 3.0, 0.0),  # ends on it
+        (3, 10.0, 0.0, 20.0, 5.0, 10.0, 0.0),  # end to end
+        (4, 6.0, 0.0, 30.0, 0.0, 8.0, 0.0),  # a stretch in common
+        (5, 10.0, 0.0, 15.0, 0.0, 10.0, 0.0),  # in line, end to end
+        (6, 11.0, 0.0, 15.0, 0.0, None, None),  # in line, apart
+        (7, 4.0, 1.0, 4.0, 5.0, None, None),
+        (8, 2.0, 0.0, 2.0, 0.0, 2.0, 0.0),  # a point on it
+        (9, 300.0, 500.0, 500.0, 500.0, 500.0, 500.0),  # ends on the other at a border of cells
+    ]
+    b = spark.createDataFrame([r[:5] for r in rows], "kb long, x1 double, y1 double, x2 double, y2 double")
+    pairs = spatial.crossing_pairs(a, b, "ka", "kb")
+    got = {(r.ka, r.kb): (r.este, r.norte) for r in spatial.crossing_points(pairs, "ka", "kb").collect()}
+    assert got == {(2 if r[0] == 9 else 1, r[0]): r[5:] for r in rows if r[5] is not None}
+    assert [r.kb for r in spatial.crossing_pairs(a, b, "ka", "kb", proper=True).collect()] == [1]
+
+
 def test_zone_cells_by_brute_force(spark):
     ring = [(3.0, 2.0), (47.0, 9.0), (41.0, 44.0), (25.0, 21.0), (8.0, 39.0)]
     df = spark.createDataFrame([(1, [dict(x=x, y=y) for x, y in ring])], "k long, ring array<struct<x:double,y:double>>")
