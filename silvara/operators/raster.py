@@ -25,12 +25,13 @@ RING = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
 
 
 def horn_slope(dem: DataFrame, cell: float) -> DataFrame:
-    """Slope in percent by the eight neighbours; a missing one counts as the cell itself."""
+    """Slope in percent by the eight neighbours; a missing one counts as the cell itself. A cell without a height, null or NaN, has none."""
+    dem = dem.withColumn("z", F.when(~F.isnan("z"), F.col("z")))
     z = {o: F.coalesce(F.try_element_at("n", F.lit(k)), F.col("z")) for k, o in enumerate(RING)}
     p = (z[-1, 1] + 2 * z[0, 1] + z[1, 1]) - (z[-1, -1] + 2 * z[0, -1] + z[1, -1])
     q = (z[1, -1] + 2 * z[1, 0] + z[1, 1]) - (z[-1, -1] + 2 * z[-1, 0] + z[-1, 1])
     p, q = p / (8 * cell), q / (8 * cell)
-    return neighbours(dem, "z", RING).select("r", "c", F.bround(F.sqrt(p * p + q * q) * 100, 6).alias("pendiente"))
+    return neighbours(dem, "z", RING).select("r", "c", F.when(F.col("z").isNotNull(), F.bround(F.sqrt(p * p + q * q) * 100, 6)).alias("pendiente"))
 
 
 def wetness_index(dem: DataFrame, accumulation: DataFrame, cell: float) -> DataFrame:
@@ -124,13 +125,33 @@ def crossing_cost(order: Column) -> Column:
     return F.when(order.isNotNull(), table.otherwise(CROSSING_COST[low])).otherwise(0.0)
 
 
-def cost_surface(slope: DataFrame, wet: DataFrame, exclusion: DataFrame, streams: DataFrame, limit: float = 8.0, ceiling: float = 100000.0) -> DataFrame:
-    """Slope, wetness (x (1 + 1.5 h)), nearness of exclusions (x 8 inside, x (1 + 4 d) around) and stream crossings (added), kept within 0.01 and ``ceiling``.
+def cost_surface(
+    slope: DataFrame, wet: DataFrame, exclusion: DataFrame, streams: DataFrame, limit: float = 8.0, ceiling: float = 100000.0,
+    area: DataFrame | None = None, veto: DataFrame | None = None, ridge: DataFrame | None = None, outside: float = 6.0, ridge_weight: float = 0.0,
+) -> DataFrame:
+    """Slope, wetness (x (1 + 1.5 h)), nearness of exclusions (x 8 inside, x (1 + 4 d) around), cells out of ``area`` (x ``outside``, the ceiling if it is as high),
+    cells of ``veto`` (the ceiling), nearness of ridges (/ (1 + w d), unless more than 60 % of the cells have over 0.5) and stream crossings (added), kept within 0.01 and
+    ``ceiling``. A cell without a slope or cost, null or NaN, has the ceiling.
 
-    Inputs share the grid: pendiente, humedad, cercania, orden.
+    Inputs share the grid: pendiente, humedad, cercania, orden; area and veto list cells, ridge has cercania. The order is the reference's, so the ridge discount reaches
+    vetoed cells too. Its statistics, warnings and errors, and the finding of ridges with their limit of relief, are not here.
     """
     j = slope.join(wet, ["r", "c"], "left").join(exclusion, ["r", "c"], "left").join(streams, ["r", "c"], "left")
-    near = F.coalesce("cercania", F.lit(0.0))
-    v = slope_cost(F.col("pendiente"), limit) * (1 + 1.5 * F.least(F.greatest(F.coalesce("humedad", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
-    v = v * F.when(near >= 1, 8.0).otherwise(1 + 4 * near) + crossing_cost(F.col("orden"))
-    return j.select("r", "c", F.bround(F.least(F.greatest(v, F.lit(0.01)), F.lit(ceiling)), 4).alias("costo"))
+    part = lambda c: F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    near, valid = part("cercania"), F.col("pendiente").isNotNull() & ~F.isnan("pendiente")
+    v = slope_cost(F.col("pendiente"), limit) * (1 + 1.5 * F.least(F.greatest(part("humedad"), F.lit(0.0)), F.lit(1.0)))
+    v = v * F.when(near >= 1, 8.0).otherwise(1 + 4 * near)
+    if area is not None:
+        j = j.join(area.select("r", "c", F.lit(True).alias("_in")).distinct(), ["r", "c"], "left")
+        v = F.when(F.col("_in").isNotNull(), v).otherwise(F.lit(ceiling) if outside >= ceiling else v * outside)
+    if veto is not None:
+        j = j.join(veto.select("r", "c", F.lit(True).alias("_veto")).distinct(), ["r", "c"], "left")
+        v = F.when(F.col("_veto").isNotNull(), ceiling).otherwise(v)
+    if ridge is not None and ridge_weight > 0:
+        j = j.join(ridge.select("r", "c", F.col("cercania").alias("_ridge")), ["r", "c"], "left")
+        crest = F.least(F.greatest(part("_ridge"), F.lit(0.0)), F.lit(1.0))
+        j = j.crossJoin(F.broadcast(j.agg((F.count_if(valid & (crest > 0.5)) <= 0.6 * F.count_if(valid)).alias("_tells"))))
+        v = F.when(F.col("_tells"), v / (1 + ridge_weight * crest)).otherwise(v)
+    v = v + crossing_cost(F.col("orden"))
+    v = F.when(valid & v.isNotNull() & ~F.isnan(v), F.least(F.greatest(v, F.lit(0.01)), F.lit(ceiling))).otherwise(ceiling)
+    return j.select("r", "c", F.bround(v, 4).alias("costo"))

@@ -60,11 +60,18 @@ def role_surfaces(s: SparkSession, d: str) -> DataFrame:
     return raster.role_surfaces(layers)
 
 
-def cost_surface(s: SparkSession, d: str) -> DataFrame:
+def cost_surface(s: SparkSession, d: str, **more: DataFrame | float) -> DataFrame:
     slope = raster.horn_slope(_dem(s, d), CELL)
     wet = _dem(s, d).select("r", "c", raster.ramp(2.0 * F.abs(F.col("c") - 32), 2.0, 8.0).alias("humedad"))
     order = _channel(s, d).select("r", "c", (1 + F.col("r") % 5).alias("orden"))
-    return raster.cost_surface(slope, wet, raster.proximity(_dem(s, d), _channel(s, d), CELL, 150.0), order)
+    return raster.cost_surface(slope, wet, raster.proximity(_dem(s, d), _channel(s, d), CELL, 150.0), order, **more)
+
+
+def cost_surface_limits(s: SparkSession, d: str) -> DataFrame:
+    """With a work area, a veto and ridges."""
+    dem = _dem(s, d)
+    ridge = raster.proximity(dem, dem.where("c in (0, 63)").select("r", "c"), CELL, 60.0)
+    return cost_surface(s, d, area=dem.where("c between 4 and 59"), veto=dem.where("r between 20 and 23 and c > 40"), ridge=ridge, ridge_weight=0.5)
 
 
 def _graph(s: SparkSession, d: str, order: int) -> DataFrame:
@@ -123,6 +130,7 @@ QUERIES = {
     "proximity_decay": lambda s, d: raster.proximity(_dem(s, d), _channel(s, d), CELL, 150.0),
     "role_surfaces": role_surfaces,
     "cost_surface": cost_surface,
+    "cost_surface_limits": cost_surface_limits,
     "wetness_index": lambda s, d: raster.wetness_index(_dem(s, d), _dem(s, d).select("r", "c", (1 + F.col("r")).alias("acumulacion")), CELL),
     "zone_cells": lambda s, d: raster.rasterize(table(s, d, "zones"), "zona_id", "ring", 10.0),
     "zone_cells_touched": lambda s, d: raster.rasterize_touched(table(s, d, "zones"), "zona_id", "ring", 10.0),

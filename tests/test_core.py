@@ -51,6 +51,26 @@ def test_plane_slope_and_filled_pits(spark):
     assert flow.fill_depressions(bowl).where("r = 2 and c = 2").collect()[0].z == 6.0
 
 
+def test_cost_of_cells_without_data_area_veto_and_ridges(spark):
+    def costs(slopes, **more):
+        k = len(slopes)
+        slope = spark.createDataFrame([(0, c, v) for c, v in enumerate(slopes)], "r long, c long, pendiente double")
+        none = lambda name, kind: spark.createDataFrame([], f"r long, c long, {name} {kind}")
+        order = spark.createDataFrame([(0, 1, 2)], "r long, c long, orden int")
+        more = {n: spark.createDataFrame([(0, *x) for x in v], "r long, c long" + ", cercania double" * (n == "ridge")) if isinstance(v, list) else v for n, v in more.items()}
+        got = {x.c: x.costo for x in raster.cost_surface(slope, none("humedad", "double"), none("cercania", "double"), order, **more).collect()}
+        return [got[c] for c in range(k)]
+
+    assert costs([8.0, 0.0, None, math.nan]) == [2.0, 61.0, 100000.0, 100000.0]
+    assert costs([8.0, 0.0, 0.0], area=[(0,), (1,)]) == [2.0, 61.0, 6.0]
+    assert costs([8.0, 0.0, 0.0], area=[(0,), (1,)], outside=100000.0)[2] == 100000.0
+    assert costs([8.0, 0.0, 0.0], veto=[(0,), (1,)]) == [100000.0, 100000.0, 1.0]
+    assert costs([8.0, 0.0, 0.0], ridge=[(0, 1.0), (1, 1 / 3)], ridge_weight=1.0) == [1.0, 60.75, 1.0]
+    assert costs([8.0, 0.0, 0.0], ridge=[(0, 1.0), (1, 0.8)], ridge_weight=1.0) == [2.0, 61.0, 1.0]  # ridges nearly everywhere tell nothing
+    dem = spark.createDataFrame([(r, c, None if (r, c) == (2, 2) else 1.0 * c) for r in range(5) for c in range(5)], "r long, c long, z double")
+    assert [(x.r, x.c) for x in raster.horn_slope(dem, 30.0).where("pendiente is null").collect()] == [(2, 2)]
+
+
 def test_least_cost_is_dijkstras(spark):
     cells = [(r, c, float((r * 7 + c * 3) % 5), 1.0 + (r * c) % 4) for r in range(6) for c in range(6)]
     g = routing.edges(spark.createDataFrame(cells, "r long, c long, z double, costo double"), 30.0, 2).withColumn("w", routing.weight())
