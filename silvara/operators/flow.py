@@ -24,30 +24,122 @@ def drainage(dem: DataFrame, cell: float) -> DataFrame:
     return n.select("r", "c", F.when(falls, F.col("r") + step[0]).cast("long").alias("nr"), F.when(falls, F.col("c") + step[1]).cast("long").alias("nc"))
 
 
+#: Label of the water that leaves the grid.
+OUT = -1
+
+
+def _tiled(cells: DataFrame, tile: int) -> DataFrame:
+    """``cells`` by tile (_tr, _tc), those at a tile's rim also in the tiles beside it."""
+    places = lambda v: F.array_distinct(F.array(*[F.floor((F.col(v) + k) / tile) for k in (0, -1, 1)]))
+    return cells.withColumn("_tr", F.explode(places("r"))).withColumn("_tc", F.explode(places("c")))
+
+
+def _laid(pdf: pd.DataFrame, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Heights of a tile with a rim of one cell, NaN where there is no cell, and the place of each row."""
+    i, j = (pdf["r"] - pdf["_tr"] * tile + 1).to_numpy(), (pdf["c"] - pdf["_tc"] * tile + 1).to_numpy()
+    z = np.full((tile + 2, tile + 2), np.nan)
+    z[i, j] = pdf["z"]
+    return z, i, j
+
+
+def _around(a: np.ndarray, di: int, dj: int) -> np.ndarray:
+    """Of each cell within the rim, what the neighbour has."""
+    return a[1 + di : a.shape[0] - 1 + di, 1 + dj : a.shape[1] - 1 + dj]
+
+
 def fill_depressions(dem: DataFrame, tile: int = 512) -> DataFrame:
-    """H1: no cell lower than its way out, by priority flood in tiles. A tile holds at most tile x tile cells; depressions that cross tiles are filled to their tile's rim."""
+    """H1: no cell lower than its way out, by priority flood. Water leaves where one of a cell's eight neighbours is missing or has no height.
+
+    Each tile of at most tile x tile cells is flooded alone, from its outlets and the cells beside other tiles, and labelled by the seed that each cell drains to.
+    The spill heights between labels, within tiles and across, give each label's level; a cell lies at its own or its label's level, whichever is higher.
+    """
 
     def flood(pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = pdf["r"].min(), pdf["c"].min()
-        z = np.full((pdf["r"].max() - r0 + 1, pdf["c"].max() - c0 + 1), np.nan)
-        r, c = (pdf["r"] - r0).to_numpy(), (pdf["c"] - c0).to_numpy()
-        z[r, c] = pdf["z"]
-        out = np.full_like(z, np.nan)
-        heap = [(z[i, j], i, j) for i in range(z.shape[0]) for j in range(z.shape[1]) if z[i, j] == z[i, j] and (i in (0, z.shape[0] - 1) or j in (0, z.shape[1] - 1) or np.isnan(z[i - 1 : i + 2, j - 1 : j + 2]).any())]
-        for v, i, j in heap:
-            out[i, j] = v
+        z, i, j = _laid(pdf, tile)
+        r0, c0 = int(pdf["_tr"].iloc[0]) * tile - 1, int(pdf["_tc"].iloc[0]) * tile - 1
+        lone = np.zeros(z.shape, dtype=bool)
+        lone[1:-1, 1:-1] = np.any([np.isnan(_around(z, *o)) for o in RING], axis=0)
+        beside = np.zeros(z.shape, dtype=bool)
+        beside[[1, -2], 1:-1] = beside[1:-1, [1, -2]] = True
+        own = ~np.isnan(z)
+        own[[0, -1]] = own[:, [0, -1]] = False
+        out, label = np.full(z.shape, np.nan), np.zeros(z.shape, dtype=np.int64)
+        known = np.zeros(z.shape, dtype=bool)
+        ocean = own & lone
+        label[ocean], known[ocean] = OUT, True
+        seeds = own & (lone | beside)
+        out[seeds] = z[seeds]
+        heap = [(z[a, b], a, b) for a, b in np.argwhere(seeds).tolist()]
         heapq.heapify(heap)
         while heap:
-            v, i, j = heapq.heappop(heap)
+            v, a, b = heapq.heappop(heap)
+            if not known[a, b]:
+                label[a, b], known[a, b] = (r0 + a + 2**30 << 31) + (c0 + b + 2**30), True
             for di, dj in RING:
-                a, b = i + di, j + dj
-                if 0 <= a < z.shape[0] and 0 <= b < z.shape[1] and z[a, b] == z[a, b] and np.isnan(out[a, b]):
-                    out[a, b] = max(z[a, b], v)
-                    heapq.heappush(heap, (out[a, b], a, b))
-        return pdf[["r", "c"]].assign(z=out[r, c])
-
-    keyed = dem.select("r", "c", "z", F.floor(F.col("r") / tile).alias("_tr"), F.floor(F.col("c") / tile).alias("_tc"))
-    return keyed.groupBy("_tr", "_tc").applyInPandas(lambda pdf: flood(pdf), "r long, c long, z double")
+                m, n = a + di, b + dj
+                if own[m, n] and not known[m, n]:
+                    label[m, n], known[m, n] = label[a, b], True
+                    if out[m, n] != out[m, n]:
+                        out[m, n] = max(z[m, n], v)
+                        heapq.heappush(heap, (out[m, n], m, n))
+                    else:  # a seed that lies in the heap already, no lower than v
+                        out[m, n] = max(out[m, n], v)
+        mine = (i > 0) & (i <= tile) & (j > 0) & (j <= tile)
+        i, j = i[mine], j[mine]
+        return pdf.loc[mine, ["r", "c"]].assign(z=out[i, j], label=label[i, j])
+
+    def spills(pdf: pd.DataFrame) -> pd.DataFrame:
+        z, i, j = _laid(pdf, tile)
+        label = np.zeros(z.shape, dtype=np.int64)
+        label[i, j] = pdf["label"]
+        parts = []
+        for o in RING:
+            a, b, w = label[1:-1, 1:-1], _around(label, *o), np.maximum(z[1:-1, 1:-1], _around(z, *o))
+            way = (a != b) & ~np.isnan(w)
+            parts.append(pd.DataFrame({"a": a[way], "b": b[way], "w": w[way]}))
+        return pd.concat(parts).groupby(["a", "b"], as_index=False).min()
+
+    tiles = _tiled(dem.select("r", "c", F.col("z").cast("double").alias("z")), tile).groupBy("_tr", "_tc")
+    filled = cut(tiles.applyInPandas(lambda pdf: flood(pdf), "r long, c long, z double, label long"))
+    ways = _tiled(filled, tile).groupBy("_tr", "_tc").applyInPandas(lambda pdf: spills(pdf), "a long, b long, w double")
+    level = _spill_levels(ways.groupBy("a", "b").agg(F.min("w").alias("w")))
+    return filled.join(level, "label", "left").select("r", "c", F.when(~F.isnan("z"), F.greatest("z", "level")).alias("z"))
+
+
+def _spill_levels(ways: DataFrame) -> DataFrame:
+    """Lowest level at which each label's water reaches OUT, over ways (a, b, w) that go both ways.
+
+    In a round each label joins the one beyond its lowest way, so the labels halve at least. Ways fall along such a chain: the first is its highest.
+    """
+    ways = cut(ways)
+    level = cut(ways.where(F.col("a") != OUT).select(F.col("a").alias("label"), F.col("a").alias("at"), F.lit(None).cast("double").alias("level")).distinct())
+    while True:
+        # Equal heights are told apart by the pair, so that chains end in two labels that choose each other, or in OUT.
+        pick = ways.where(F.col("a") != OUT).groupBy("a").agg(F.min(F.struct("w", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))).alias("m"))
+        pick = cut(pick.select("a", F.when(F.col("m.x") == F.col("a"), F.col("m.y")).otherwise(F.col("m.x")).alias("to"), F.col("m.w").alias("w")))
+        if not pick.limit(1).count():
+            return level.select("label", "level")
+        back = pick.select(F.col("a").alias("to"), F.col("to").alias("_back"))
+        ends = pick.join(back, "to", "left").select("a", F.when((F.col("_back") == F.col("a")) & (F.col("a") < F.col("to")), F.col("a")).otherwise(F.col("to")).alias("to"), "w")
+        ends = _followed(ends)
+        level = cut(
+            level.join(ends.withColumnRenamed("a", "at"), "at", "left").select(
+                "label", F.coalesce("to", "at").alias("at"), F.when(F.col("to") != F.col("at"), F.greatest("level", "w")).otherwise(F.col("level")).alias("level")
+            )
+        )
+        for side in ("a", "b"):
+            ways = ways.join(ends.select(F.col("a").alias(side), F.col("to").alias("_to")), side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
+        ways = cut(ways.where("a <> b").groupBy("a", "b").agg(F.min("w").alias("w")))
+
+
+def _followed(ends: DataFrame) -> DataFrame:
+    """Pointers a -> to, doubled until none moves; those that end point at themselves or at what is no ``a``."""
+    while True:
+        jump = ends.select(F.col("a").alias("to"), F.col("to").alias("_far"))
+        nxt = cut(ends.join(jump, "to", "left").select("a", F.coalesce("_far", "to").alias("to"), *[c for c in ends.columns if c not in ("a", "to")], (F.col("_far") != F.col("to")).alias("_moved")))
+        ends = nxt.drop("_moved")
+        if not nxt.where("_moved").limit(1).count():
+            return ends
 
 
 def outlets(drains: DataFrame, streams: DataFrame, most_rounds: int = 64) -> DataFrame:

@@ -51,6 +51,28 @@ def test_plane_slope_and_filled_pits(spark):
     assert flow.fill_depressions(bowl).where("r = 2 and c = 2").collect()[0].z == 6.0
 
 
+def test_depressions_across_tiles(spark):
+    cells = {(r, c): float((r * 37 + c * 61 + r * c * 13) % 23) for r in range(-3, 17) for c in range(19) if (r, c) != (14, 12)}
+    for r in range(0, 12):  # a basin over several seams of tiles, with one way out at 30
+        for c in range(4, 16):
+            if (r, c) in cells and (r in (0, 11) or c in (4, 15)):
+                cells[r, c] = 30.0 if (r, c) == (6, 15) else 50.0
+    ring = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+    want = {k: z for k, z in cells.items() if any((k[0] + a, k[1] + b) not in cells for a, b in ring)}
+    heap = [(z, k) for k, z in want.items()]
+    heapq.heapify(heap)
+    while heap:
+        z, (r, c) = heapq.heappop(heap)
+        for k in ((r + a, c + b) for a, b in ring):
+            if k in cells and k not in want:
+                want[k] = max(z, cells[k])
+                heapq.heappush(heap, (want[k], k))
+    df = spark.createDataFrame([(*k, z) for k, z in cells.items()], "r long, c long, z double")
+    for tile in (4, 512):
+        assert {(x.r, x.c): x.z for x in flow.fill_depressions(df, tile).collect()} == want
+    assert want[6, 9] == 30.0
+
+
 def test_cost_of_cells_without_data_area_veto_and_ridges(spark):
     def costs(slopes, **more):
         k = len(slopes)
