@@ -177,35 +177,62 @@ def accumulation(drains: DataFrame, most_rounds: int = 64) -> DataFrame:
     return state.select("r", "c", F.col("a").alias("acumulacion"))
 
 
-def stream_orders(segments: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """H6, H7: Strahler and Shreve order of each segment (sid flows into down_sid). Leaves first; a round resolves the segments whose sources are all resolved.
+def _jumps(ptr: DataFrame, most: int) -> list[DataFrame]:
+    """Pointers (sid, to) over 1, 2, 4, ... steps, until all have ended or ``most`` doublings are made."""
+    jumps = [ptr]
+    while len(jumps) <= most and jumps[-1].where("to is not null").limit(1).count():
+        far = jumps[-1].select(F.col("sid").alias("to"), F.col("to").alias("_far"))
+        jumps.append(cut(jumps[-1].join(far, "to", "left").select("sid", F.col("_far").alias("to"))))
+    return jumps
 
-    Segments on a cycle are never resolved and keep null orders.
+
+def stream_orders(segments: DataFrame) -> DataFrame:
+    """H6, H7: Strahler and Shreve order of each segment (sid flows into down_sid). Rounds are few: pointers double, however long the ways are.
+
+    Shreve sums the leaves along the doubled pointers. A segment is of Strahler order k + 1 or more if two of order k or more flow into it, or if it lies below such a one.
+    Segments on a cycle keep null orders. A segment flows into one other at most.
     """
     links = cut(segments.select("sid", "down_sid"))
-    inflow = links.groupBy(F.col("down_sid").alias("sid")).agg(F.count("*").alias("need"))
-    nodes = cut(links.join(inflow, "sid", "left").select("sid", "down_sid", F.coalesce("need", F.lit(0)).alias("need")))
-    done = cut(nodes.where("need = 0").select("sid", F.lit(1).cast("long").alias("strahler"), F.lit(1).cast("long").alias("shreve")))
-    known = done.count()
-    for _ in range(most_rounds):
-        # Top order and how often it occurs, by the two largest of the sources.
-        came = done.join(links, "sid").groupBy(F.col("down_sid").alias("sid")).agg(F.count("*").alias("have"), F.max("strahler").alias("top"), F.sum("shreve").alias("shreve"), F.max(F.struct("strahler", "sid")).alias("m"))
-        second = done.join(links, "sid").join(came.select(F.col("sid").alias("down_sid"), F.col("m.sid").alias("best")), "down_sid").where("sid <> best").groupBy(F.col("down_sid").alias("sid")).agg(F.max("strahler").alias("next"))
-        ready = nodes.join(came, "sid").where("need = have").join(second, "sid", "left").select("sid", F.when(F.col("top") == F.col("next"), F.col("top") + 1).otherwise(F.col("top")).alias("strahler"), "shreve")
-        done = cut(nodes.where("need = 0").select("sid", F.lit(1).cast("long").alias("strahler"), F.lit(1).cast("long").alias("shreve")).unionByName(ready))
-        now = done.count()
-        if now == known:
+    n = links.count()
+    if links.select("sid").distinct().count() != n:
+        raise ValueError("a segment is listed more than once")
+    ids = links.select(F.col("sid").alias("down_sid"), F.lit(True).alias("_there"))
+    ptr = cut(links.join(ids, "down_sid", "left").select("sid", F.when(F.col("_there"), F.col("down_sid")).alias("to")))
+    jumps = _jumps(ptr, n.bit_length())
+    # After more steps than there are segments, what is still reached lies on cycles, and all of a cycle is.
+    ring = cut(jumps[-1].where("to is not null").select(F.col("to").alias("sid")).distinct())
+    if ring.limit(1).count():
+        on = ring.select(F.col("sid").alias("to"), F.lit(True).alias("_on"))
+        ptr = cut(ptr.join(ring, "sid", "left_anti").join(on, "to", "left").select("sid", F.when(F.col("_on").isNull(), F.col("to")).alias("to")))
+        jumps = _jumps(ptr, n.bit_length())
+    moves = [j.where("to is not null") for j in jumps[:-1]]
+    inflow = ptr.where("to is not null").select(F.col("to").alias("sid")).distinct().withColumn("_fed", F.lit(True))
+    state = cut(ptr.join(inflow, "sid", "left").select("sid", F.when(F.col("_fed"), 0).otherwise(1).cast("long").alias("shreve")))
+    for move in moves:
+        sent = state.join(move, "sid").groupBy(F.col("to").alias("sid")).agg(F.sum("shreve").alias("_s"))
+        state = cut(state.join(sent, "sid", "left").select("sid", (F.col("shreve") + F.coalesce("_s", F.lit(0))).alias("shreve")))
+    level = ptr.select("sid")
+    levels = level.withColumn("k", F.lit(1).cast("long"))
+    k = 1
+    while moves:
+        k += 1
+        level = level.join(moves[0], "sid").groupBy(F.col("to").alias("sid")).agg(F.count("*").alias("k")).where("k > 1").select("sid")
+        for move in moves:
+            level = level.join(move, "sid", "left").select(F.explode(F.array("sid", "to")).alias("sid")).where("sid is not null").distinct()
+        level = cut(level)
+        if not level.limit(1).count():
             break
-        known = now
-    return nodes.select("sid").join(done, "sid", "left")
+        levels = levels.unionByName(level.withColumn("k", F.lit(k).cast("long")))
+    strahler = levels.groupBy("sid").agg(F.max("k").alias("strahler"))
+    return links.select("sid").join(strahler, "sid", "left").join(state, "sid", "left")
 
 
-def components(edges: DataFrame, a: str, b: str, most_rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Smallest node number of each node's connected component: labels spread along edges and jump to their label's label."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     both = cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     label = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l")))
-    for _ in range(most_rounds):
+    while True:  # labels only fall, so it ends
         near = both.join(label.select(F.col("u").alias("v"), F.col("l").alias("_l")), "v").groupBy("u").agg(F.min("_l").alias("_n"))
         low = label.join(near, "u", "left").select("u", F.col("l").alias("old"), F.least("l", F.coalesce("_n", "l")).alias("l"))
         jump = label.select(F.col("u").alias("l"), F.col("l").alias("_j"))

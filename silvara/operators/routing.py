@@ -31,15 +31,18 @@ def weight(adverse: float = 4.0, favourable: float = 8.0, w: float = 1.0, beyond
     return (F.col("k1") + F.col("k2")) / 2 * F.col("dist") * (1 + w * s * s) * F.when(s > beyond, steep).otherwise(1.0)
 
 
-def least_costs(graph: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def least_costs(graph: DataFrame, sources: DataFrame) -> DataFrame:
     """Least cost of reaching each cell from any source, and the cell before it (pr, pc; null at sources).
 
     ``graph`` has r, c, r2, c2, w. Only cells that improved pass on in a round; rounds end when none does.
+    Weights below zero are refused, as ways over them need not end.
     """
     best = cut(sources.select("r", "c", F.lit(0.0).alias("costo"), F.lit(None).cast("long").alias("pr"), F.lit(None).cast("long").alias("pc")))
     front = best
     links = cut(graph.select("r", "c", "r2", "c2", "w"))
-    for _ in range(most_rounds):
+    if links.where("w < 0").limit(1).count():
+        raise ValueError("a weight is below zero")
+    while True:
         reached = front.join(links, ["r", "c"]).groupBy(F.col("r2").alias("r"), F.col("c2").alias("c")).agg(F.min(F.struct((F.col("costo") + F.col("w")).alias("costo"), F.col("r").alias("pr"), F.col("c").alias("pc"))).alias("n"))
         j = cut(best.withColumn("old", F.lit(True)).join(reached, ["r", "c"], "full_outer"))
         better = F.coalesce(F.col("n.costo") < F.col("costo"), F.col("costo").isNull())

@@ -43,6 +43,15 @@ def test_orders_and_neighbourhoods(spark):
     assert {tuple(r) for r in flow.components(edges, "a", "b").collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
 
 
+def test_orders_of_a_long_main_stem(spark):
+    n = 1200  # segments of the stem, each but the first with a source of its own
+    net = spark.createDataFrame([(i, i + 1 if i < n else 0) for i in range(1, n + 1)] + [(10_000 + i, i) for i in range(2, n + 1)], "sid long, down_sid long")
+    got = {r.sid: (r.strahler, r.shreve) for r in flow.stream_orders(net).collect()}
+    assert got == {1: (1, 1)} | {i: (2, i) for i in range(2, n + 1)} | {10_000 + i: (1, 1) for i in range(2, n + 1)}
+    with pytest.raises(ValueError):
+        routing.least_costs(spark.createDataFrame([(0, 0, 0, 1, -1.0)], "r long, c long, r2 long, c2 long, w double"), spark.createDataFrame([(0, 0)], "r long, c long"))
+
+
 def test_plane_slope_and_filled_pits(spark):
     plane = spark.createDataFrame([(r, c, 0.3 * 30 * c) for r in range(6) for c in range(6)], "r long, c long, z double")
     inner = raster.horn_slope(plane, 30.0).where("r between 1 and 4 and c between 1 and 4")
