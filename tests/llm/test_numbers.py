@@ -60,3 +60,15 @@ def test_boosted_trees_learn():
     m = Boosted(trees=60, depth=3).fit(x[:600], y[:600])
     assert np.abs(m.predict(x[600:]) - y[600:]).mean() < 0.1
     assert Boosted(trees=3).fit(np.zeros((4, 2)), np.ones(4)).predict(np.zeros((1, 2)))[0] == 1.0
+
+
+def test_selection_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SLICE", 50)
+    monkeypatch.setattr(quantiles, "BINS", 8)
+    rng = random.Random(6)
+    rows = [(g, rng.choice([rng.random() * 100, 7.0])) for g in (1, None) for _ in range(4000)] + [(3, 2.5)] * 500
+    df = spark.createDataFrame(rows, "g long, v double")
+    ranks = {1: 1333, None: 4000, 3: 250}
+    wanted = spark.createDataFrame([(g, w, r, 0.0, 100.0, 4000) for g, r in ranks.items() for w in ("low",)], "g long, which string, rank long, lo double, hi double, inside long")
+    got = {r.g: r._x for r in quantiles._selected(df, wanted, ["g"], "v").collect()}
+    assert got == {g: sorted(v for k, v in rows if k == g)[r - 1] for g, r in ranks.items()}
