@@ -72,8 +72,8 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that speak passages of test items."""
-    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    """Documents that speak 20 or more consecutive words of test items."""
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).where("tipo = 'literal'").select("doc_id", "item_id")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
