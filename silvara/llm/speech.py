@@ -29,9 +29,9 @@ BROKEN = re.compile("[ÂÃâ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’
 #: Letters of Latin-1 read as the old code page 850, and characters that such a reading alone gives.
 OLD_PAGE = {ord(bytes([b]).decode("cp850")): bytes([b]).decode("latin-1") for b in range(0xBF, 0x100)}
 OLD_CHARS = frozenset("┐└┴╔╚╩¾Ýßþ·Ò±")
-OLD_SIGNS = re.compile(r"[!@|](?=[^\W\d_])|(?<=[^\W\d_])[@|]")
+OLD_SIGNS = re.compile("(?<=[a-zA-Z])[¾Ýßþ·Ò±](?=[a-z])|[┐└┴╔╚╩]")
 #: Signs misread for letters, where letters follow or stand around.
-SIGNS = re.compile(r"!(?=[^\W\d_])|@(?=[^\W\d_])|(?<=[^\W\d_])[@|](?=\w|\b|\W)|\|(?=[^\W\d_])")
+SIGNS = re.compile(r"[!@|](?=[^\W\d_])|(?<=[^\W\d_])[@|]")
 SIGN_LETTERS = {"!": "i", "@": "a", "|": "l"}
 LOST = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])|�")
 #: Everything but letters and digits parts words.
