@@ -167,3 +167,27 @@ def test_levels_on_held_out_documents(spark, data):
     assert set(got) == set(want)
     assert sum(got[k] == v for k, v in want.items()) >= 0.9 * len(want)
     assert reading.reading_levels(d, fit.limit(0)).count() == 0
+
+
+def test_folds_hold_out_whole_sources():
+    source = np.array(["a"] * 50 + ["b"] * 30 + ["c"] * 20 + ["d"] * 5)
+    fold = reading.source_folds(source, 3)
+    assert len(set(fold)) == 3 and all(len(set(fold[source == s])) == 1 for s in "abcd")
+    assert set(reading.source_folds(np.array(["a"] * 7), 5)) == {0, 1, 2, 3, 4}
+    seen = []
+
+    class Spy(reading.Boosted):
+        def fit(self, x, y):
+            seen.append(set(x[:, 1].tolist()))
+            return super().fit(x, y)
+
+    rng = np.random.default_rng(1)
+    y = rng.integers(1, 4, 105).astype(float)
+    x = np.column_stack([y + rng.normal(0, 0.1, 105), fold])
+    before, reading.Boosted = reading.Boosted, Spy
+    try:
+        m = reading.fit(x, y, source, folds=3)
+    finally:
+        reading.Boosted = before
+    assert [s for s in seen if len(s) == 2] == [{1, 2}, {0, 2}, {0, 1}] and seen[-1] == {0, 1, 2}  # trees of a fold saw none of its sources
+    assert m.accuracy["held_out"] > 0.9 < m.accuracy["mixed"] and set(m.bias) == {"held_out", "source:a", "source:b", "source:c", "source:d"}
