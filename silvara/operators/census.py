@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silvara.functions.text import as_float, as_text, normalize_field, normalize_species, strip
+from silvara.runtime import small
 
 #: Plausible diameters and heights in metres; 0 is not flagged.
 DAP_RANGE, HEIGHT_RANGE = (0.05, 3.5), (1.0, 45.0)
@@ -122,7 +123,7 @@ def species_lookup(tree: DataFrame, dmc: DataFrame) -> DataFrame:
     """Rows and volume of each listed species, found by comparable name; unlisted rows under id -1."""
     listed = dmc.select(normalize_species("especie").alias("k"), "especie_id")
     t = tree.select(normalize_species("especie").alias("k"), real("volumen_m3").alias("v"))
-    j = t.join(F.broadcast(listed), "k", "left")
+    j = t.join(small(listed), "k", "left")
     return j.groupBy(F.coalesce("especie_id", F.lit(-1)).alias("especie_id")).agg(F.count("*").alias("n"), F.coalesce(F.sum(thousandths(F.col("v"))), F.lit(0)).alias("volumen_milesimas"))
 
 

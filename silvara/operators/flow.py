@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silvara.operators.raster import RING, neighbours
-from silvara.runtime import cut
+from silvara.runtime import cut, drop
 
 
 def drainage(dem: DataFrame, cell: float) -> DataFrame:
@@ -142,19 +142,77 @@ def _followed(ends: DataFrame) -> DataFrame:
             return ends
 
 
-def outlets(drains: DataFrame, streams: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """The stream cell, pit or rim cell (er, ec) that each cell's water reaches: pointers are doubled until none moves, in as many rounds as the logarithm of the longest way."""
+def resolve_flats(dem: DataFrame, drains: DataFrame, tile: int = 512) -> DataFrame:
+    """``drains`` (r, c, nr, nc) with a way out for the cells of flats: towards the nearest cell of the flat that has one, first of the ring on a tie.
+
+    A flat's ways start at its cells that drain, or at the rim of the grid, where water leaves. Tiles settle what they can reach; what crosses their
+    borders goes on in the next round, until nothing changes. Pits of a DEM that is not filled have no way out and keep nulls.
+    """
+    cells = dem.select("r", "c", F.when(~F.isnan("z"), F.col("z")).cast("double").alias("z")).join(drains, ["r", "c"], "left")
+
+    def start(pdf: pd.DataFrame) -> pd.DataFrame:
+        z, i, j = _laid(pdf, tile)
+        rim = np.zeros(z.shape, dtype=bool)
+        rim[1:-1, 1:-1] = np.any([np.isnan(_around(z, *o)) for o in RING], axis=0)
+        mine = (i > 0) & (i <= tile) & (j > 0) & (j <= tile)
+        return pdf.loc[mine, ["r", "c", "z", "nr", "nc"]].assign(known=(pdf.loc[mine, "nr"].notna() | (rim[i[mine], j[mine]] & pdf.loc[mine, "z"].notna())), new=False)
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        z, i, j = _laid(pdf, tile)
+        known = np.zeros(z.shape, dtype=bool)
+        known[i, j] = pdf["known"]
+        to = np.full((*z.shape, 2), -1, dtype=np.int64)
+        grown = np.zeros(z.shape, dtype=bool)
+        inside = np.zeros(z.shape, dtype=bool)
+        inside[1:-1, 1:-1] = ~np.isnan(z[1:-1, 1:-1])
+        front = known & ~np.isnan(z)
+        while front.any():
+            fresh = np.zeros(z.shape, dtype=bool)
+            for k in range(len(RING)):
+                di, dj = RING[k]
+                beside = np.zeros(z.shape, dtype=bool)
+                beside[1:-1, 1:-1] = _around(front, di, dj) & (_around(z, di, dj) == z[1:-1, 1:-1])
+                take = beside & inside & ~known & ~fresh
+                to[take] = (di, dj)
+                fresh |= take
+            known |= fresh
+            grown |= fresh
+            front = fresh
+        mine = (i > 0) & (i <= tile) & (j > 0) & (j <= tile)
+        own = pdf.loc[mine].copy()
+        i, j = i[mine], j[mine]
+        new = grown[i, j]
+        own["nr"] = own["nr"].astype(float).where(~new, own["r"] + to[i, j, 0])
+        own["nc"] = own["nc"].astype(float).where(~new, own["c"] + to[i, j, 1])
+        return own[["r", "c", "z", "nr", "nc"]].assign(known=known[i, j], new=new)
+
+    shape = "r long, c long, z double, nr double, nc double, known boolean, new boolean"
+    state = cut(_tiled(cells, tile).groupBy("_tr", "_tc").applyInPandas(lambda pdf: start(pdf), shape))
+    while True:
+        before = state
+        state = cut(_tiled(state.drop("new"), tile).groupBy("_tr", "_tc").applyInPandas(lambda pdf: grow(pdf), shape))
+        drop(before)
+        if not state.where("new").limit(1).count():
+            return state.select("r", "c", F.col("nr").cast("long").alias("nr"), F.col("nc").cast("long").alias("nc"))
+
+
+def outlets(drains: DataFrame, streams: DataFrame) -> DataFrame:
+    """The stream cell, pit or rim cell (er, ec) that each cell's water reaches: pointers are doubled until none moves, in as many rounds as the logarithm of the longest way. Drains that run in a circle are refused."""
     s = streams.select("r", "c").distinct().withColumn("_s", F.lit(True))
     fixed = F.col("_s").isNotNull() | F.col("nr").isNull()
     ptr = cut(drains.join(s, ["r", "c"], "left").select("r", "c", F.when(fixed, F.col("r")).otherwise(F.col("nr")).alias("er"), F.when(fixed, F.col("c")).otherwise(F.col("nc")).alias("ec")))
-    for _ in range(most_rounds):
+    for _ in range(ptr.count().bit_length() + 1):
         step = ptr.select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.col("er").alias("_er"), F.col("ec").alias("_ec"))
         j = ptr.join(step, (F.col("er") == F.col("_r")) & (F.col("ec") == F.col("_c")), "left")
+        before = ptr
         nxt = cut(j.select("r", "c", F.coalesce("_er", "er").alias("er"), F.coalesce("_ec", "ec").alias("ec"), ((F.col("_er") != F.col("er")) | (F.col("_ec") != F.col("ec"))).alias("moved")))
+        drop(before)
+        moved = nxt.where("moved").limit(1).count()
         ptr = nxt.drop("moved")
-        if not nxt.where("moved").limit(1).count():
-            break
-    return ptr
+        ptr._silvara_path = nxt._silvara_path
+        if not moved:
+            return ptr
+    raise ValueError("the drains run in a circle")
 
 
 def height_above_drainage(dem: DataFrame, drains: DataFrame, streams: DataFrame) -> DataFrame:
@@ -165,16 +223,18 @@ def height_above_drainage(dem: DataFrame, drains: DataFrame, streams: DataFrame)
     return j.select("r", "c", F.bround(F.greatest(F.col("z") - F.col("_z"), F.lit(0.0)), 6).alias("hand"))
 
 
-def accumulation(drains: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """H1: cells that drain through each cell, itself included. Sums travel along doubled pointers, so the rounds are few."""
+def accumulation(drains: DataFrame) -> DataFrame:
+    """H1: cells that drain through each cell, itself included. Sums travel along doubled pointers, so the rounds are as few as the logarithm of the longest way. Drains that run in a circle are refused."""
     state = cut(drains.select("r", "c", F.lit(1).cast("long").alias("a"), F.col("nr").alias("pr"), F.col("nc").alias("pc")))
-    for _ in range(most_rounds):
+    for _ in range(state.count().bit_length() + 1):
         if not state.where("pr is not null").limit(1).count():
-            break
+            return state.select("r", "c", F.col("a").alias("acumulacion"))
         sent = state.where("pr is not null").groupBy(F.col("pr").alias("r"), F.col("pc").alias("c")).agg(F.sum("a").alias("_s"))
         jump = state.select(F.col("r").alias("pr"), F.col("c").alias("pc"), F.col("pr").alias("_pr"), F.col("pc").alias("_pc"))
+        before = state
         state = cut(state.join(sent, ["r", "c"], "left").join(jump, ["pr", "pc"], "left").select("r", "c", (F.col("a") + F.coalesce("_s", F.lit(0))).alias("a"), F.col("_pr").alias("pr"), F.col("_pc").alias("pc")))
-    return state.select("r", "c", F.col("a").alias("acumulacion"))
+        drop(before)
+    raise ValueError("the drains run in a circle")
 
 
 def _jumps(ptr: DataFrame, most: int) -> list[DataFrame]:

@@ -1,26 +1,33 @@
 """Problem 3: points near other points and regions containing points, by ranges of space-filling-curve cells.
 
 Coordinates become integers (half centimetres), so every refinement is exact. A cell's code interleaves the bits of its column and
-row. A disc is covered by the cells that it touches; a region by the cells that it touches, with runs of adjoining codes
-merged into ranges. A range is cut at blocks of codes, so that the range join is an equality of blocks with a bound on
-codes, which Spark sorts, splits when skewed and spills.
+row. A disc is covered by ranges of the codes of the cells that it touches; a region by a quadtree: squares of cells wholly inside,
+as large as they fit, and the smallest cells along its rim. Ranges are cut at blocks of codes, so that the range join is an equality of blocks with a
+bound on codes, which Spark sorts, splits when skewed and spills; large squares have large blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silvara.runtime import ship
+from silvara.runtime import cut, ship
 
 #: Integer units per metre.
 UNITS = 200
-#: Codes of 2 ** BLOCK_BITS adjoining cells share a block of the region join.
-BLOCK_BITS = 4
+#: A block of the pair join holds 2 ** PAIR_BITS cells.
+PAIR_BITS = 2
+#: A block of the region join holds 2 ** bits cells: of each tier of squares.
+TIER_BITS = (6, 14, 22, 30, 38, 46)
+#: Levels of squares beyond a block that are cut into its blocks before the next tier takes them.
+SPARE = 2
+#: No position on Earth is further from the origin in metres; cells are so large that codes reach as far.
+FARTHEST = 4.0e7
 #: Cells lie within 2 ** 23 of the origin, so that a code has 48 bits.
 _OFFSET = 1 << 23
 
@@ -61,9 +68,9 @@ def _whole(v: Column) -> Column:
 
 
 def located(df: DataFrame, key: str, x: str = "x", y: str = "y") -> DataFrame:
-    """id, px, py in integer units of the rows with a position: no null, NaN or infinite coordinate, and not (0,0), which means undefined."""
+    """id, px, py in integer units of the rows with a position: no null, NaN or infinite coordinate or one beyond FARTHEST, and not (0,0), which means undefined."""
     cx, cy = F.col(x).cast("double"), F.col(y).cast("double")
-    real = ~F.isnan(cx) & ~F.isnan(cy) & (F.abs(cx) < 1e9) & (F.abs(cy) < 1e9) & ~((cx == 0) & (cy == 0))
+    real = ~F.isnan(cx) & ~F.isnan(cy) & (F.abs(cx) <= FARTHEST) & (F.abs(cy) <= FARTHEST) & ~((cx == 0) & (cy == 0))
     return df.where(F.coalesce(real, F.lit(False))).select(F.col(key).alias("id"), _whole(cx * UNITS).alias("px"), _whole(cy * UNITS).alias("py"))
 
 
@@ -71,79 +78,111 @@ def _cell(v: Column, side: int) -> Column:
     return F.floor(v / F.lit(side).cast("double"))
 
 
+def _side(metres: float) -> int:
+    """Side of a cell in integer units, at least so large that codes reach FARTHEST."""
+    return max(int(round(metres * UNITS)), int(FARTHEST * UNITS) // _OFFSET + 2)
+
+
 def pairs_within(points: DataFrame, distance_m: float) -> DataFrame:
     """Pairs of points at most ``distance_m`` apart, borders included: id_a < id_b.
 
-    ``points`` as given by ``located``; ids are unique. Each pair is found once, at the cell of its smaller id: that point offers
-    its own cell, the other offers the cells that its disc touches (mostly one and four at most, as a cell is several discs wide). Points at one
+    ``points`` as given by ``located``; ids are unique. A cell is as wide as a disc, so that a disc touches two columns and two rows at most; its cells within one block are a range of
+    codes. Each pair is found once, at the cell of its smaller id: that point offers its own code, the other the ranges of its disc. Points at one
     place are pairs like any other; an empty input gives no pairs.
     """
     radius = int(round(distance_m * UNITS))
-    side = 16 * radius
+    side = _side(2 * radius / UNITS)
     own = points.select(z_code(_cell(F.col("px"), side), _cell(F.col("py"), side)).alias("code"), F.col("id").alias("id_a"), F.col("px").alias("ax"), F.col("py").alias("ay"))
-    ends = [[_cell(F.col(c) - radius, side), _cell(F.col(c) + radius, side)] for c in ("px", "py")]
-    cover = F.array_distinct(F.array(*[z_code(cx, cy) for cx in ends[0] for cy in ends[1]]))
-    discs = points.select(F.explode(cover).alias("code"), F.col("id").alias("id_b"), F.col("px").alias("bx"), F.col("py").alias("by"))
+    edge = {f"_{c}{n}": _cell(F.col(p) + (radius if n else -radius), side) for c, p in (("c", "px"), ("r", "py")) for n in (0, 1)}
+    wide = 2 ** (PAIR_BITS // 2)
+    discs = points.select(F.col("id").alias("id_b"), F.col("px").alias("bx"), F.col("py").alias("by"), *[v.alias(n) for n, v in edge.items()])
+    for c in ("c", "r"):
+        discs = discs.withColumn(f"_b{c}", F.explode(F.sequence(F.floor(F.col(f"_{c}0") / wide), F.floor(F.col(f"_{c}1") / wide))))
+    first = [F.greatest(F.col(f"_{c}0"), F.col(f"_b{c}") * wide) for c in ("c", "r")]
+    last = [F.least(F.col(f"_{c}1"), F.col(f"_b{c}") * wide + (wide - 1)) for c in ("c", "r")]
+    ranges = discs.select("id_b", "bx", "by", z_code(*first).alias("lo"), z_code(*last).alias("hi"))
+    held = (F.col("code") >= F.col("lo")) & (F.col("code") <= F.col("hi"))
     near = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by")) <= radius * radius
-    return own.join(discs, "code").where((F.col("id_a") < F.col("id_b")) & near).select("id_a", "id_b")
-
-
-def _touched(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, side: int) -> set[tuple[int, int]]:
-    """Cells that a ring's edges pass through, and at most some beside them: of each edge, row by row, the columns it spans."""
-    cells: set[tuple[int, int]] = set()
-    for ax, ay, bx, by in zip(x0.tolist(), y0.tolist(), x1.tolist(), y1.tolist()):
-        if ay > by:
-            ax, ay, bx, by = bx, by, ax, ay
-        for row in range(ay // side, by // side + 1):
-            lo, hi = max(ay, row * side), min(by, (row + 1) * side)
-            if by == ay:
-                left, right = min(ax, bx), max(ax, bx)
-            else:
-                ends = ax + (bx - ax) * (lo - ay) / (by - ay), ax + (bx - ax) * (hi - ay) / (by - ay)
-                left, right = min(ends) - 1, max(ends) + 1
-            cells.update((column, row) for column in range(int(left // side), int(right // side) + 1))
-    return cells
-
-
-def _cover(ring: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lo, hi, inside) code ranges that cover a ring; inside ranges need no refinement. Ranges end at blocks."""
-    x, y = ring[:, 0], ring[:, 1]
-    x1, y1 = np.roll(x, -1), np.roll(y, -1)
-    edge = _touched(x, y, x1, y1, side)
-    columns = np.arange(x.min() // side, x.max() // side + 1)
-    inner: list[tuple[int, int]] = []
-    for row in range(int(y.min() // side), int(y.max() // side) + 1):
-        # A row of cell centres against the ring, at once.
-        py = row * side + side / 2
-        crossing = (y > py) != (y1 > py)
-        at = np.sort(x[crossing] + (py - y[crossing]) * (x1[crossing] - x[crossing]) / (y1[crossing] - y[crossing]))
-        odd = (len(at) - np.searchsorted(at, columns * side + side / 2, side="right")) % 2 == 1
-        inner.extend((c, row) for c in columns[odd].tolist() if (c, row) not in edge)
-    lo, hi, full = [], [], []
-    for cells, inside in ((sorted(edge), False), (inner, True)):
-        if not cells:
+    return own.join(ranges, (F.shiftright("code", PAIR_BITS) == F.shiftright("lo", PAIR_BITS)) & held & (F.col("id_a") < F.col("id_b")) & near).select("id_a", "id_b")
+
+
+def _squares(ring: np.ndarray, side: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """(level, columns, rows, inside) of the squares that cover a ring, level by level from the largest: those wholly inside, and cells of level 0 that an edge may touch."""
+    x0, y0 = ring[:, 0], ring[:, 1]
+    x1, y1 = np.roll(x0, -1), np.roll(y0, -1)
+    span = max(int(np.ptp(x0)), int(np.ptp(y0)), 1)
+    level = max(0, (span // side).bit_length() - 1)
+    wide = side << level
+    columns, rows = (g.ravel() for g in np.meshgrid(np.arange(x0.min() // wide, x0.max() // wide + 1), np.arange(y0.min() // wide, y0.max() // wide + 1)))
+    while len(columns):
+        wide = side << level
+        cx, cy = columns[:, None] * wide, rows[:, None] * wide
+        # An edge misses a square if their boxes are apart, or all corners lie on one side of its line. Borders count as touching.
+        apart = (np.minimum(x0, x1) > cx + wide) | (np.maximum(x0, x1) < cx) | (np.minimum(y0, y1) > cy + wide) | (np.maximum(y0, y1) < cy)
+        turns = np.stack([(x1 - x0) * (cy + b * wide - y0) - (y1 - y0) * (cx + a * wide - x0) for a in (0, 1) for b in (0, 1)])
+        touched = (~(apart | (turns > 0).all(0) | (turns < 0).all(0))).any(1)
+        px, py = cx + wide / 2, cy + wide / 2
+        crossing = (y0 > py) != (y1 > py)
+        tall = np.where(y1 == y0, 1, y1 - y0)
+        inside = (crossing & (px < x0 + (py - y0) * (x1 - x0) / tall)).sum(1) % 2 == 1
+        whole = ~touched & inside
+        if whole.any():
+            yield level, columns[whole], rows[whole], True
+        columns, rows = columns[touched], rows[touched]
+        if level == 0:
+            if len(columns):
+                yield 0, columns, rows, False
+            return
+        level -= 1
+        columns, rows = (np.repeat(2 * columns, 4) + np.tile([0, 1, 0, 1], len(columns)), np.repeat(2 * rows, 4) + np.tile([0, 0, 1, 1], len(rows)))
+
+
+def _merged(lo: np.ndarray, hi: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges in order, those that adjoin within a block made one."""
+    order = np.argsort(lo)
+    lo, hi = lo[order], hi[order]
+    new = np.concatenate([[True], (lo[1:] != hi[:-1] + 1) | (lo[1:] >> bits != lo[:-1] >> bits)])
+    starts = np.flatnonzero(new)
+    return lo[starts], hi[np.append(starts[1:], len(lo)) - 1]
+
+
+def _cover(ring: np.ndarray, side: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """(tier, lo, hi, inside) code ranges that cover a ring; inside ranges need no refinement. No range passes a block of its tier."""
+    inner: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for level, columns, rows, inside in _squares(ring, side):
+        if not inside:
+            codes = z_codes(columns, rows)
+            yield 0, *_merged(codes, codes, TIER_BITS[0]), False
             continue
-        a = np.array(cells, dtype=np.int64)
-        codes = np.sort(z_codes(a[:, 0], a[:, 1]))
-        new = np.concatenate([[True], (np.diff(codes) != 1) | (np.diff(codes >> BLOCK_BITS) != 0)])
-        starts = np.flatnonzero(new)
-        lo.append(codes[starts])
-        hi.append(codes[np.append(starts[1:], len(codes)) - 1])
-        full.append(np.full(len(starts), inside))
-    return np.concatenate(lo), np.concatenate(hi), np.concatenate(full)
+        tier = next(t for t, bits in enumerate(TIER_BITS) if 2 * level <= bits + 2 * SPARE)
+        lo = z_codes(columns << level, rows << level)
+        extra = max(0, 2 * level - TIER_BITS[tier])
+        step = 1 << 2 * level - extra
+        lo = (lo[:, None] + np.arange(1 << extra) * step).ravel()
+        inner.setdefault(tier, []).append((lo, lo + step - 1))
+    for tier, parts in inner.items():
+        yield tier, *_merged(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), TIER_BITS[tier]), True
+
+
+def _unspread(code: np.ndarray) -> np.ndarray:
+    """The even bits of codes, put together."""
+    out = np.zeros_like(code)
+    for i in range(24):
+        out |= (code >> 2 * i & 1) << i
+    return out
 
 
 def region_ranges(regions: DataFrame, key: str, ring: str, cell_m: float) -> DataFrame:
-    """Code ranges that cover each region: id, block, lo, hi, ring (null where the range lies wholly inside).
+    """Code ranges that cover each region: id, tier, lo, hi, and the edges (x0, y0, x1, y1, null where the range lies wholly inside) that decide about points in it.
 
-    A region's cells are few against its points; a ring of fewer than three different corners, or null, covers nothing.
-    Corners that are null or no numbers are left out.
+    A ring of fewer than three different corners, or null, covers nothing. Corners that are null or no numbers are left out. A range along the rim has
+    only the edges that a ray to greater x from its box can meet.
     """
-    side = int(round(cell_m * UNITS))
+    side = _side(cell_m)
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
+            out = []
             for key_, xs, ys in zip(batch["id"], batch["xs"], batch["ys"]):
                 a = np.column_stack([np.asarray(xs, dtype=float), np.asarray(ys, dtype=float)])
                 a = np.rint(a[np.isfinite(a).all(axis=1)] * UNITS).astype(np.int64)
@@ -151,13 +190,40 @@ def region_ranges(regions: DataFrame, key: str, ring: str, cell_m: float) -> Dat
                     a = a[:-1]
                 if len(np.unique(a, axis=0)) < 3:
                     continue
-                lo, hi, full = _cover(a, side)
-                parts.append(pd.DataFrame({"id": key_, "block": lo >> BLOCK_BITS, "lo": lo, "hi": hi, "rx": [None if f else a[:, 0] for f in full], "ry": [None if f else a[:, 1] for f in full]}))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+                edges = np.column_stack([a, np.roll(a, -1, axis=0)])
+                for tier, lo, hi, inside in _cover(a, side):
+                    if inside:
+                        out += [(key_, tier, x, y, None, None, None, None) for x, y in zip(lo.tolist(), hi.tolist())]
+                        continue
+                    # The box of a range: that of the square of cells that it lies in.
+                    level = np.array([((x ^ y).bit_length() + 1) // 2 for x, y in zip(lo.tolist(), hi.tolist())])
+                    base = lo >> 2 * level << 2 * level
+                    left, low = ((_unspread(base >> k) - _OFFSET) * side for k in (0, 1))
+                    top = low + (side << level)
+                    use = (edges[:, [1, 3]].min(1) <= top[:, None]) & (edges[:, [1, 3]].max(1) >= low[:, None]) & (edges[:, [0, 2]].max(1) >= left[:, None])
+                    for x, y, u in zip(lo.tolist(), hi.tolist(), use):
+                        e = edges[u]
+                        out.append((key_, tier, x, y, e[:, 0], e[:, 1], e[:, 2], e[:, 3]))
+            if out:
+                yield pd.DataFrame(out, columns=["id", "tier", "lo", "hi", "x0", "y0", "x1", "y1"])
 
     src = regions.where(F.col(ring).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(ring, lambda p: p["x"]).alias("xs"), F.transform(ring, lambda p: p["y"]).alias("ys"))
-    return ship(src).mapInPandas(cover, "id long, block long, lo long, hi long, rx array<long>, ry array<long>")
+    return ship(src).mapInPandas(cover, "id long, tier int, lo long, hi long, x0 array<long>, y0 array<long>, x1 array<long>, y1 array<long>")
+
+
+def odd_crossings(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Even-odd rule in exact integers over edges given as four arrays: a point is inside if a ray to greater x crosses an odd number of edges.
+
+    An edge takes its lower end and not its upper one; a point on an edge counts by the same rule.
+    """
+
+    def crosses(i: Column) -> Column:
+        ax, ay, bx, by = (F.get(c, i) for c in (x0, y0, x1, y1))
+        left = (px - ax) * (by - ay) - (py - ay) * (bx - ax)
+        return ((ay > py) != (by > py)) & F.when(by > ay, left < 0).otherwise(left > 0)
+
+    none = F.size(x0) == 0
+    return ~none & F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(x0) - 1, F.lit(0))), F.lit(False), lambda acc, i: acc != crosses(i))
 
 
 def inside_ring(px: Column, py: Column, rx: Column, ry: Column) -> Column:
@@ -181,12 +247,16 @@ def inside_ring(px: Column, py: Column, rx: Column, ry: Column) -> Column:
 def points_in_regions(points: DataFrame, regions: DataFrame, key: str = "zona_id", ring: str = "ring", cell_m: float = 8.0) -> DataFrame:
     """The regions that each point lies in: id_a the point, id_b the region.
 
-    Regions may overlap, be open or closed, turn either way and be concave. A point in several regions gives several rows.
+    Regions may overlap, be open or closed, turn either way and be concave. A point in several regions gives several rows. The points meet the ranges once for each tier of
+    squares that the regions need: a second one only where some region is half a kilometre wide and more.
     """
-    side = int(round(cell_m * UNITS))
-    code = z_code(_cell(F.col("px"), side), _cell(F.col("py"), side))
-    at = points.select(F.col("id").alias("id_a"), "px", "py", code.alias("code")).withColumn("block", F.shiftright("code", BLOCK_BITS))
-    ranges = region_ranges(regions, key, ring, cell_m).withColumnRenamed("id", "id_b")
-    hits = at.join(ranges, "block").where((F.col("code") >= F.col("lo")) & (F.col("code") <= F.col("hi")))
-    exact = F.col("rx").isNull() | inside_ring(F.col("px"), F.col("py"), F.col("rx"), F.col("ry"))
-    return hits.where(exact).select("id_a", "id_b")
+    side = _side(cell_m)
+    at = points.select(F.col("id").alias("id_a"), "px", "py", z_code(_cell(F.col("px"), side), _cell(F.col("py"), side)).alias("code"))
+    ranges = cut(region_ranges(regions, key, ring, cell_m).withColumnRenamed("id", "id_b"))
+    exact = F.col("x0").isNull() | odd_crossings(*[F.col(c) for c in ("px", "py", "x0", "y0", "x1", "y1")])
+    parts = []
+    for tier in sorted(r.tier for r in ranges.select("tier").distinct().collect()) or [0]:
+        bits = TIER_BITS[tier]
+        held = (F.shiftright("code", bits) == F.shiftright("lo", bits)) & (F.col("code") >= F.col("lo")) & (F.col("code") <= F.col("hi"))
+        parts.append(at.join(ranges.where(F.col("tier") == tier).drop("tier"), held).where(exact).select("id_a", "id_b"))
+    return reduce(DataFrame.unionByName, parts)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silvara.runtime import ship
+from silvara.runtime import cut, drop, ship
 
 
 def _cell(v: Column, side: float) -> Column:
@@ -36,14 +37,20 @@ def within(points: DataFrame, sites: DataFrame, radius: float, x: str = "x", y:
     return j.withColumn("d2", squared(F.col(x), F.col(y), F.col(px), F.col(py))).where(F.col("d2") <= radius * radius)
 
 
+def _placed(df: DataFrame, x: str, y: str) -> Column:
+    return F.coalesce(~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")), F.lit(False))
+
+
 def nearest(points: DataFrame, sites: DataFrame, key: str, site: str, most_sites: int = 50_000) -> DataFrame:
-    """Nearest site of each point, the smaller id on a tie. ``points`` has key, x, y; ``sites`` has site, px, py.
+    """Nearest site of each point, the smaller id on a tie. ``points`` has key, x, y; ``sites`` has site, px, py. Points and sites without a place take no part.
 
-    The sites, whose number is checked, go to all executors; each batch of points is compared with them as arrays. No pairs are made as rows.
+    Up to ``most_sites`` go to all executors, where each batch of points is compared with them as arrays. More are met in cells, by radii that double until every point has met one.
     """
-    rows = sites.select(site, "px", "py").limit(most_sites + 1).collect()
+    real = points.where(_placed(points, "x", "y")).select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    there = sites.where(_placed(sites, "px", "py")).select(site, F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"))
+    rows = there.limit(most_sites + 1).collect()
     if len(rows) > most_sites:
-        raise ValueError(f"more than {most_sites} sites; use within() with a radius")
+        return _nearest_in_cells(real, there, key, site)
     rows.sort()
     ids, sx, sy = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=float), np.array([r[2] for r in rows], dtype=float)
     step = max(1, 4_000_000 // max(1, len(rows)))
@@ -58,10 +65,28 @@ def nearest(points: DataFrame, sites: DataFrame, key: str, site: str, most_sites
                 yield pd.DataFrame({key: c[key].to_numpy(), site: [ids[i] for i in best], "d2": d2[np.arange(len(c)), best]})
 
     kinds = f"{key} {points.schema[key].dataType.simpleString()}, {site} {sites.schema[site].dataType.simpleString()}, d2 double"
-    real = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)").select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     return ship(real if rows else real.limit(0)).mapInPandas(find, kinds)
 
 
+def _nearest_in_cells(points: DataFrame, sites: DataFrame, key: str, site: str) -> DataFrame:
+    """``nearest`` for any number of sites. What lies within a radius is known whole, so the nearest within it is the nearest; the first radius holds about one site."""
+    sites = cut(sites)
+    box = sites.agg(F.count("*").alias("n"), (F.max("px") - F.min("px")).alias("w"), (F.max("py") - F.min("py")).alias("h")).first()
+    radius = max(1e-3, (max(box.w, 1e-6) * max(box.h, 1e-6) / box.n) ** 0.5)
+    # Points at one place have one nearest site, so places are searched for once.
+    rest, found = cut(points.select("x", "y").distinct()), []
+    while rest.limit(1).count():
+        met = within(rest, sites, radius).groupBy("x", "y").agg(F.min(F.struct("d2", site)).alias("_b"))
+        met = cut(met.select("x", "y", f"_b.{site}", "_b.d2"))
+        found.append(met)
+        before = rest
+        rest = cut(rest.join(met, ["x", "y"], "left_anti"))
+        drop(before)
+        radius *= 2
+    places = reduce(DataFrame.unionByName, found) if found else sites.limit(0).select(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), site, F.lit(0.0).alias("d2"))
+    return points.join(places, ["x", "y"]).select(key, site, "d2")
+
+
 def segment_distance2(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Squared distance of a point from a segment."""
     dx, dy = x2 - x1, y2 - y1

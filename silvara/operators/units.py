@@ -2,8 +2,9 @@
 
 Sources are the unlabelled readings of each census. The same trees link them to metres: by the diameter that a tree's
 volume, height and form factor imply, and by labelled readings of the same tree in another delivery. Each link gives a robust
-scale and offset; scales are snapped to known conversions and passed on, through species that censuses share, to sources
-without a link of their own. Single readings that leave their source's unit by a power of ten are found against the same links.
+scale and offset, which snap to known conversions and to none. Scales are then propagated through the graph of sources and the species that they share: each round the
+sources resolved so far tell the sizes of species, these the scales of further sources, until no source changes.
+Single readings that leave their source's unit by a power of ten are found against the same links.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silvara.runtime import cut, small
+from silvara.runtime import cut, drop, small
 
 # Reading per metre of diameter.
 CONVERSIONS = {
@@ -27,8 +28,12 @@ CONVERSIONS = {
     "circ_mm": 1000 * math.pi,
     "circ_in": 1000 / 25.4 * math.pi,
 }
-#: Natural-log distance within which a scale is taken for a known conversion: of a single link, of a source's median.
-SNAP_ROW, SNAP_SOURCE, SNAP_SPECIES = 0.03, 0.05, 0.25
+#: Natural-log distance within which a scale is taken for a known conversion: of a source's links by trees, and by species.
+SNAP_SOURCE, SNAP_SPECIES = 0.05, 0.25
+#: Links that a scale needs: by volumes, by labels, by trees of common species; and a scale together with an offset.
+LEAST_LINKS, LEAST_LABELS, LEAST_TREES, LEAST_AFFINE = 5, 3, 5, 20
+#: Offsets in metres up to which they are taken for none.
+NO_OFFSET = 0.01
 #: Real diameters in metres.
 LEAST, MOST = 0.05, 3.5
 
@@ -93,63 +98,87 @@ def _readings(tree: DataFrame, dirty: DataFrame, config: DataFrame) -> DataFrame
     return rows.select("fid", "censo_id", "codigo", "especie", "dap_m", "v", "exact", "dec", "unit", F.when(ok, implied).alias("implied"))
 
 
+_SIXTHS = (1 / 6, 0.5, 5 / 6)
+
+
+def _link(v: Column, metres: Column, tag: str) -> list[Column]:
+    """Aggregates of readings ``v`` linked to ``metres`` (null where there is no link): links, the median ratio, and sixths of both sides."""
+    linked = metres.isNotNull()
+    return [
+        F.count(metres).alias(f"_n{tag}"),
+        F.percentile_approx(v / metres, F.lit(0.5), F.lit(2000)).alias(f"_s{tag}"),
+        F.percentile_approx(F.when(linked, v), F.array(*map(F.lit, _SIXTHS)), F.lit(2000)).alias(f"_v{tag}"),
+        F.percentile_approx(metres, F.array(*map(F.lit, _SIXTHS)), F.lit(2000)).alias(f"_m{tag}"),
+    ]
+
+
+def _snapped(tag: str, least: int) -> Column:
+    """unit, scale, offset_m and links of a link's aggregates, null where nothing snaps.
+
+    The median ratio is taken if it is a known conversion. Else the readings may have an offset: as trees keep their order, the sixths of both sides
+    belong together, and give a slope that outliers of up to a sixth on either end do not touch; the offset is what the medians then differ by.
+    """
+    n, ratio, v, m = (F.col(f"_{c}{tag}") for c in "nsvm")
+    plain = nearest(ratio, SNAP_SOURCE)
+    slope = F.try_divide(F.get(v, F.lit(2)) - F.get(v, F.lit(0)), F.get(m, F.lit(2)) - F.get(m, F.lit(0)))
+    sloped = nearest(slope, SNAP_SOURCE)
+    offset = F.get(v, F.lit(1)) / conversion(sloped) - F.get(m, F.lit(1))
+    fit = lambda unit, scale, off: F.struct(unit.alias("unit"), scale.alias("scale"), off.alias("offset_m"), n.alias("links"))
+    return F.when((n >= least) & plain.isNotNull(), fit(plain, ratio, F.lit(0.0))).when((n >= LEAST_AFFINE) & sloped.isNotNull() & (F.abs(offset) > NO_OFFSET), fit(sloped, slope, offset))
+
+
 def source_graph(readings: DataFrame, config: DataFrame) -> DataFrame:
     """One row per census: unit of its unlabelled readings, and by which link it was found (via).
 
-    Columns: censo_id, unit, scale, offset_m, links, via. The scale is the median ratio of the linked readings; the offset the median of
-    what remains, in metres. Medians are approximate percentiles, which merge across partitions, so no census is gathered.
+    Columns: censo_id, unit, scale (reading per metre), offset_m (metres that its readings exceed the diameter by), links, via, tenths (whether most readings have decimals). Medians are approximate
+    percentiles, which merge across partitions, so no census is gathered. The labels of one tree are put together before they
+    meet its readings, so that a code repeated for many rows gives each of them one link.
     """
     plain = readings.where(F.col("unit").isNull())
+    told_by = config.select("censo_id", told(F.col("field_dap"), F.col("diameter_mode"), F.col("observacion")).alias("told")).groupBy("censo_id").agg(F.min("told").alias("told"))
     # Link 1: the same tree's implied diameter.
-    by_volume = (
-        plain.where(F.col("implied").isNotNull())
-        .groupBy("censo_id")
-        .agg(F.percentile_approx(F.col("v") / F.col("implied"), F.lit(0.5), F.lit(2000)).alias("scale"), F.count("*").alias("links"))
-    )
-    # Link 2: a labelled reading of the same tree in another delivery.
-    labelled = readings.where(F.col("unit").isNotNull() & F.col("codigo").isNotNull()).select("censo_id", "codigo", (F.col("v") / conversion(F.col("unit"))).alias("_d"))
-    by_label = (
-        plain.where(F.col("codigo").isNotNull())
-        .join(labelled, ["censo_id", "codigo"])
-        .groupBy("censo_id")
-        .agg(F.percentile_approx(F.col("v") / F.col("_d"), F.lit(0.5), F.lit(2000)).alias("scale2"), F.count("*").alias("links2"))
-    )
-    # Link 3: the sizes of a species, between censuses.
-    sizes = plain.where(F.col("especie").isNotNull()).groupBy("censo_id", "especie").agg(F.percentile_approx("v", F.lit(0.5), F.lit(1000)).alias("size"), F.count("*").alias("trees"))
-    base = (
-        plain.select("censo_id").distinct()
-        .join(by_volume, "censo_id", "left")
-        .join(by_label, "censo_id", "left")
-        .join(config.select("censo_id", told(F.col("field_dap"), F.col("diameter_mode"), F.col("observacion")).alias("told")), "censo_id", "left")
-    )
-    first = F.when(F.col("links") >= 5, nearest(F.col("scale"), SNAP_SOURCE))
-    second = F.when(F.col("links2") >= 3, nearest(F.col("scale2"), SNAP_SOURCE))
-    nodes = cut(base.select(
-        "censo_id", "told",
-        F.coalesce(first, second).alias("unit"),
-        F.when(first.isNotNull(), F.col("scale")).when(second.isNotNull(), F.col("scale2")).alias("scale"),
-        F.when(first.isNotNull(), F.col("links")).when(second.isNotNull(), F.col("links2")).alias("links"),
-        F.when(first.isNotNull(), "volumen").when(second.isNotNull(), "rotulo").alias("via"),
-    ))
-    # Passing on: sizes of species in resolved sources, in metres, against the same species in the rest.
-    known = nodes.where(F.col("unit").isNotNull()).select("censo_id", conversion(F.col("unit")).alias("_k"))
-    metres = sizes.join(known, "censo_id").groupBy("especie").agg((F.sum(F.col("size") / F.col("_k") * F.col("trees")) / F.sum("trees")).alias("_d"))
-    rest = nodes.where(F.col("unit").isNull()).select("censo_id")
-    passed = (
-        sizes.join(rest, "censo_id", "left_semi").join(metres, "especie")
-        .groupBy("censo_id").agg(F.expr("percentile(size / _d, 0.5, trees)").alias("scale3"), F.sum("trees").alias("links3"))
-    )
-    third = F.when(F.col("links3") >= 5, nearest(F.col("scale3"), SNAP_SPECIES))
-    # Telling counts where it agrees with the sizes, and where nothing else speaks.
-    agrees = F.abs(F.log(F.col("scale3") / conversion(F.col("told")))) <= 2 * SNAP_SPECIES
-    last = F.when(agrees | third.isNull(), F.coalesce(F.col("told"), F.lit("cm"))).otherwise(third)
-    return nodes.join(passed, "censo_id", "left").select(
-        "censo_id",
-        F.coalesce("unit", last).alias("unit"),
-        F.coalesce("scale", "scale3").alias("scale"),
-        F.coalesce("links", "links3").alias("links"),
-        F.coalesce("via", F.when(agrees | third.isNull(), "declarado").otherwise("especie")).alias("via"),
-    )
+    first = cut(
+        plain.groupBy("censo_id").agg(*_link(F.col("v"), F.col("implied"), "1"), (F.avg((F.col("dec") > 0).cast("int")) >= 0.5).alias("tenths"))
+        .select("censo_id", _snapped("1", LEAST_LINKS).alias("_a"), "tenths")
+    )
+    # Link 2: labelled readings of the same tree in other deliveries, for the sources that link 1 leaves open.
+    open_ = small(first.where(F.col("_a").isNull()).select("censo_id"))
+    coded = readings.where(F.col("codigo").isNotNull()).join(open_, "censo_id", "left_semi")
+    trees = coded.where(F.col("unit").isNotNull()).groupBy("censo_id", "codigo").agg(F.percentile_approx(F.col("v") / conversion(F.col("unit")), F.lit(0.5), F.lit(100)).alias("_d"))
+    second = coded.where(F.col("unit").isNull()).join(trees, ["censo_id", "codigo"]).groupBy("censo_id").agg(*_link(F.col("v"), F.col("_d"), "2")).select("censo_id", _snapped("2", LEAST_LABELS).alias("_b"))
+    found = F.coalesce("_a", "_b")
+    state = cut(
+        first.join(second, "censo_id", "left").join(told_by, "censo_id", "left").select(
+            "censo_id", "tenths", F.coalesce("told", F.lit("cm")).alias("told"), found["unit"].alias("unit"), found["scale"].alias("scale"), found["offset_m"].alias("offset_m"), found["links"].alias("links"),
+            F.when(F.col("_a").isNotNull(), "volumen").when(F.col("_b").isNotNull(), "rotulo").alias("via"),
+        )
+    )
+    # Link 3: sizes of species that sources share, passed on round by round.
+    sizes = cut(plain.where(F.col("especie").isNotNull()).groupBy("censo_id", "especie").agg(F.percentile_approx("v", F.lit(0.5), F.lit(1000)).alias("size"), F.count("*").alias("trees")))
+    while True:
+        known = state.where(F.col("unit").isNotNull()).select("censo_id", conversion(F.col("unit")).alias("_k"), F.coalesce("offset_m", F.lit(0.0)).alias("_o"))
+        metres = sizes.join(known, "censo_id").groupBy("especie").agg((F.sum((F.col("size") / F.col("_k") - F.col("_o")) * F.col("trees")) / F.sum("trees")).alias("_d")).where("_d > 0")
+        passed = (
+            sizes.join(state.where(F.col("unit").isNull()).select("censo_id"), "censo_id", "left_semi").join(metres, "especie")
+            .groupBy("censo_id").agg(F.expr("percentile(size / _d, 0.5, trees)").alias("_scale"), F.sum("trees").alias("_links"))
+        )
+        # Telling counts where it agrees with the sizes.
+        agrees = F.abs(F.log(F.col("_scale") / conversion(F.col("told")))) <= 2 * SNAP_SPECIES
+        by_sizes = F.when(F.col("_links") >= LEAST_TREES, nearest(F.col("_scale"), SNAP_SPECIES))
+        unit = F.when(agrees, F.col("told")).otherwise(by_sizes)
+        new = F.col("unit").isNull() & unit.isNotNull()
+        before = state
+        state = cut(
+            state.join(passed, "censo_id", "left").select(
+                "censo_id", "tenths", "told", F.coalesce("unit", unit).alias("unit"), F.coalesce("scale", F.when(new, F.col("_scale"))).alias("scale"), F.coalesce("offset_m", F.when(new, F.lit(0.0))).alias("offset_m"),
+                F.coalesce("links", F.when(new, F.col("_links"))).alias("links"), F.coalesce("via", F.when(new, F.when(agrees, "declarado").otherwise("especie"))).alias("via"), new.alias("_new"),
+            )
+        )
+        drop(before)
+        if not state.where("_new").limit(1).count():
+            break
+    # What no link reaches is as it is told.
+    return state.select("censo_id", F.coalesce("unit", "told").alias("unit"), "scale", F.coalesce("offset_m", F.lit(0.0)).alias("offset_m"), "links", F.coalesce("via", F.lit("declarado")).alias("via"), "tenths")
 
 
 def diameters(tree: DataFrame, dirty: DataFrame, config: DataFrame) -> DataFrame:
@@ -157,37 +186,38 @@ def diameters(tree: DataFrame, dirty: DataFrame, config: DataFrame) -> DataFrame
 
     A unit in the text counts first, then the unit of the reading's source. A single unlabelled reading that lies a factor of 5 or
     more from its tree's linked diameter takes the millimetres, centimetres or metres that fit; one without a linked
-    diameter does so if its own unit gives no real diameter, or if it is a whole number of 175 or more where its source records tenths.
+    diameter does so if its own unit gives no real diameter, or if it is a whole number of 175 or more where its source records tenths of centimetres.
     Readings that are null, no number, zero or negative give no row, nor do those whose ``fid`` has no tree; empty tables give none.
     Extra columns are ignored.
     """
     rows = cut(_readings(tree, dirty, config))
-    sources = cut(source_graph(rows, config)).select(F.col("censo_id").alias("_s"), F.col("unit").alias("_su"), "via")
-    joined = rows.join(small(sources), F.col("censo_id").eqNullSafe(F.col("_s")), "left").withColumn("_k", conversion(F.coalesce("_su", F.lit("cm"))))
-    d = F.col("v") / F.col("_k")
-    odd = (d < LEAST) | (d > MOST) | ((F.col("dec") == 0) & (F.col("_su") == "cm") & (F.col("v") >= 175))
+    sources = cut(source_graph(rows, config)).select(F.col("censo_id").alias("_s"), F.col("unit").alias("_su"), F.col("offset_m").alias("_off"), "via", "tenths")
+    joined = rows.join(small(sources), F.col("censo_id").eqNullSafe(F.col("_s")), "left").withColumns({"_k": conversion(F.coalesce("_su", F.lit("cm"))), "_off": F.coalesce("_off", F.lit(0.0))})
+    d = F.col("v") / F.col("_k") - F.col("_off")
+    whole_number = F.coalesce((F.col("dec") == 0) & (F.col("_su") == "cm") & F.col("tenths") & (F.col("v") >= 175), F.lit(False))
+    odd = (d < LEAST) | (d > MOST) | whole_number
     doubtful = F.col("unit").isNull() & F.col("implied").isNull() & odd & F.col("codigo").isNotNull()
     flagged = joined.withColumn("_doubt", F.coalesce(doubtful, F.lit(False)))
-    # Linked diameters of the same tree, only for doubtful readings without one of their own.
-    need = flagged.where("_doubt").select("fid", "censo_id", "codigo")
-    offer = flagged.where(~F.col("_doubt") & F.col("codigo").isNotNull()).select("censo_id", "codigo", F.coalesce("implied", F.col("v") / conversion(F.coalesce("unit", "_su"))).alias("_peer"))
-    peers = need.join(offer, ["censo_id", "codigo"]).groupBy(F.col("fid").alias("_pf")).agg(F.percentile_approx("_peer", F.lit(0.5), F.lit(100)).alias("_peer"))
-    linked = flagged.join(peers, F.col("fid") == F.col("_pf"), "left").withColumn("_ref", F.coalesce("implied", "_peer"))
+    # Linked diameters of the same tree, only for doubtful readings without one of their own; other rows of those trees are few.
+    need = cut(flagged.where("_doubt").select("censo_id", "codigo").distinct())
+    offer = flagged.where(~F.col("_doubt")).join(small(need), ["censo_id", "codigo"], "left_semi")
+    own = F.when(F.col("unit").isNotNull(), F.col("v") / conversion(F.col("unit"))).otherwise(d)
+    peers = offer.groupBy(F.col("censo_id").alias("_pc"), F.col("codigo").alias("_pt")).agg(F.percentile_approx(F.coalesce("implied", own), F.lit(0.5), F.lit(100)).alias("_peer"))
+    linked = flagged.join(small(cut(peers)), F.col("_doubt") & (F.col("censo_id") == F.col("_pc")) & (F.col("codigo") == F.col("_pt")), "left").withColumn("_ref", F.coalesce("implied", "_peer"))
     lengths = ("m", "cm", "mm")
-    off = F.abs(F.log(F.col("v") / F.col("_ref") / F.col("_k")))
-    by_ref = F.when(off > math.log(5), nearest(F.col("v") / F.col("_ref"), 0.5, lengths))
+    off = F.abs(F.log(d / F.col("_ref")))
+    by_ref = F.when((off > math.log(5)) | (d <= 0), nearest(F.col("v") / F.col("_ref"), 0.5, lengths))
     fits = {n: (F.col("v") / CONVERSIONS[n] >= LEAST) & (F.col("v") / CONVERSIONS[n] <= MOST) for n in lengths}
-    by_size = F.when((d < LEAST) | (d > MOST), F.when(fits["m"], "m").when(fits["cm"] & (F.col("dec") > 0), "cm").when(fits["mm"], "mm").when(fits["cm"], "cm")).when(
-        (F.col("dec") == 0) & (F.col("_su") == "cm") & (F.col("v") >= 175), "mm"
-    )
+    by_size = F.when((d < LEAST) | (d > MOST), F.when(fits["m"], "m").when(fits["cm"] & (F.col("dec") > 0), "cm").when(fits["mm"], "mm").when(fits["cm"], "cm")).when(whole_number, "mm")
     single = F.when(F.col("_ref").isNotNull(), by_ref).otherwise(by_size)
     unit = F.coalesce("unit", single, "_su", F.lit("cm"))
-    # Straight lengths are multiplied as decimals, so that halves are exact.
+    # The source's offset belongs to readings in its unit; straight lengths without one are multiplied as decimals, so that halves are exact.
+    shift = F.when(F.col("unit").isNull() & single.isNull(), F.col("_off")).otherwise(0.0)
+    linked = linked.withColumns({"_u": unit, "_shift": shift})
     per = F.when(F.col("_u") == "mm", F.lit("1")).when(F.col("_u") == "cm", F.lit("10")).when(F.col("_u") == "m", F.lit("1000")).when(F.col("_u") == "in", F.lit("25.4")).cast("decimal(8,2)")
-    exact = F.col("exact") * per
-    mm = F.coalesce(exact.cast("double"), F.col("v") / conversion(F.col("_u")) * 1000)
-    whole = F.coalesce(F.round(exact, 0).cast("long"), F.floor(F.col("v") / conversion(F.col("_u")) * 1000 + 0.5))
-    return linked.withColumn("_u", unit).select("fid", "censo_id", "dap_m", mm.alias("dap_mm"), whole.alias("dap_redondo"), F.col("_u").alias("unidad"), "via")
+    exact = F.when(F.col("_shift") == 0, F.col("exact") * per)
+    loose = (F.col("v") / conversion(F.col("_u")) - F.col("_shift")) * 1000
+    return linked.select("fid", "censo_id", "dap_m", F.coalesce(exact.cast("double"), loose).alias("dap_mm"), F.coalesce(F.round(exact, 0).cast("long"), F.floor(loose + 0.5)).alias("dap_redondo"), F.col("_u").alias("unidad"), "via")
 
 
 def wrong_units(tree: DataFrame, dirty: DataFrame, config: DataFrame, tolerance_mm: float = 2.0) -> DataFrame:

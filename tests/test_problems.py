@@ -119,3 +119,80 @@ def test_half_up(spark):
     cfg = spark.createDataFrame([(1, "d", "DAP_CM", 0.65, None)], "censo_id long, field_dap string, diameter_mode string, form_factor double, observacion string")
     dirty = spark.createDataFrame([(1, 1, "12.5 in")], "fid long, censo_id long, dap_txt string")
     assert [tuple(r) for r in units.wrong_units(tree(spark, rows), dirty, cfg).collect()] == [(1, 318)]
+
+
+def test_cover_is_exact_for_large_and_long_regions(spark):
+    """Squares of several tiers, with rings beyond half a kilometre and thin ones, against the even-odd rule."""
+    rng = random.Random(9)
+    star = [(2500 + (2000 if k % 2 else 700) * math.cos(k * math.pi / 7) + 0.005, 2500 + (2000 if k % 2 else 700) * math.sin(k * math.pi / 7) + 0.005) for k in range(14)]
+    rings = {1: star, 2: [(10.005, 10.005), (4990.005, 4000.005), (4990.005, 4003.005), (10.005, 13.005)], 3: [(0.005, 0.005), (5000.005, 0.005), (5000.005, 5000.005), (0.005, 5000.005)]}
+    rows = [dict(fid=i, x=round(rng.uniform(-100, 5100), 2), y=round(rng.uniform(-100, 5100), 2)) for i in range(3000)]
+    rows += [dict(fid=5000 + i, x=round(10 + 4980 * i / 300, 2), y=round(12 + 3990 * i / 300, 2)) for i in range(300)]
+    zones = spark.createDataFrame([(k, [dict(x=x, y=y) for x, y in v]) for k, v in rings.items()], "zona_id long, ring array<struct<x:double,y:double>>")
+    ranges = proximity.region_ranges(zones, "zona_id", "ring", 8.0)
+    assert {r.tier for r in ranges.select("tier").distinct().collect()} >= {0, 1}
+    want = set()
+    for r in rows:
+        for k, ring in rings.items():
+            odd = False
+            for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1]):
+                if (y0 > r["y"]) != (y1 > r["y"]) and r["x"] < x0 + (r["y"] - y0) * (x1 - x0) / (y1 - y0):
+                    odd = not odd
+            if odd:
+                want.add((r["fid"], k))
+    got = [tuple(r) for r in proximity.points_in_regions(proximity.located(tree(spark, rows), "fid"), zones).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+CONFIG = "censo_id long, field_dap string, diameter_mode string, form_factor double, observacion string"
+
+
+def test_units_pass_along_a_chain_of_sources(spark):
+    """Census 1 has volumes; 2 shares a species with it, and 3 only with 2: it is reached in the second round."""
+    rng = random.Random(4)
+    rows, dirty = [], []
+    for censo, per, species in ((1, 100.0, "a"), (2, 1000.0, "a"), (2, 1000.0, "b"), (3, 1.0, "b")):
+        for _ in range(30):
+            d, h, fid = rng.uniform(0.45, 0.55), 12.0, len(rows)
+            rows.append(dict(fid=fid, censo_id=censo, codigo=f"c{fid}", especie=species, altura_m=h, volumen_m3=math.pi / 4 * d * d * h * 0.65 if censo == 1 else None, dap_m=d))
+            dirty.append((fid, censo, f"{d * per:.3f}"))
+    cfg = spark.createDataFrame([(c, "diam", "DAP_CM", 0.65, None) for c in (1, 2, 3)], CONFIG)
+    readings = units._readings(tree(spark, rows), spark.createDataFrame(dirty, "fid long, censo_id long, dap_txt string"), cfg)
+    assert {r.censo_id: (r.unit, r.via) for r in units.source_graph(readings, cfg).collect()} == {1: ("cm", "volumen"), 2: ("mm", "especie"), 3: ("m", "especie")}
+
+
+def test_offsets_and_whole_numbers(spark):
+    rng = random.Random(5)
+    rows, dirty = [], []
+    for censo in (1, 2):
+        for _ in range(60):
+            d, h, fid = rng.uniform(0.3, 0.9), rng.uniform(8, 20), len(rows)
+            rows.append(dict(fid=fid, censo_id=censo, codigo="igual", especie="a", altura_m=h, volumen_m3=math.pi / 4 * d * d * h * 0.65, dap_m=d))
+            dirty.append((fid, censo, f"{100 * (d + 0.1):.2f}" if censo == 1 else f"{100 * d:.0f}"))  # 1: a tape that starts at 10 cm
+    rows.append(dict(fid=999, censo_id=2, codigo=None, especie="a", dap_m=1.8))
+    dirty.append((999, 2, "180"))  # a census of whole centimetres may hold a thick tree
+    cfg = spark.createDataFrame([(c, "diam", "DAP_CM", 0.65, None) for c in (1, 2)], CONFIG)
+    t, dd = tree(spark, rows), spark.createDataFrame(dirty, "fid long, censo_id long, dap_txt string")
+    graph = {r.censo_id: r for r in units.source_graph(units._readings(t, dd, cfg), cfg).collect()}
+    assert graph[1].unit == graph[2].unit == "cm" and graph[1].offset_m == pytest.approx(0.1, abs=0.01) and graph[2].offset_m == 0 and not graph[2].tenths
+    got = {r.fid: r for r in units.diameters(t, dd, cfg).collect()}
+    assert got[999].unidad == "cm" and all(abs(got[r["fid"]].dap_mm - 1000 * r["dap_m"]) < 12 for r in rows if r["censo_id"] == 1)
+
+
+def test_fill_error_on_hidden_values(spark):
+    """Values hidden from the operator come back nearer than by the median of all."""
+    import pandas as pd
+
+    t = pd.read_parquet("/root/testdata/sf0.01/tree.parquet").drop_duplicates("fid")
+    good = t[(t.altura_m > 0) & (t.altura_m <= 45) & (t.volumen_m3 > 0) & (t.volumen_m3 <= 200)]
+    hidden = good.iloc[::20]
+    t.loc[hidden.index, ["altura_m", "volumen_m3"]] = None
+    df = spark.createDataFrame(t[["fid", "censo_id", "especie", "dap_m", "altura_m", "volumen_m3", "volumen_calculado", "registrado_ts"]])
+    got = {(r.fid, r.campo): r.valor for r in impute.fill_cells(df).collect()}
+    error = {}
+    for f in ("altura_m", "volumen_m3"):
+        real, rest = hidden[f].to_numpy(), good.drop(hidden.index)[f].median()
+        mine = pd.Series([got[k, f] for k in hidden.fid]).to_numpy()
+        error[f] = (float(pd.Series(abs(mine - real) / real).median()), float(pd.Series(abs(rest - real) / real).median()))
+    print("fill error, by groups and by the median of all:", error)
+    assert all(a < 0.9 * b for a, b in error.values())
