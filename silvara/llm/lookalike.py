@@ -154,7 +154,7 @@ def plain_form_keep_case(text: str) -> str:
 
 
 class Reader:
-    """The readings of a text under a model of names, most literal first."""
+    """Three readings of a text under a model of names: as it shows, by look-alikes of other scripts, and by strokes of I and l as well. The second is its form if none is a name."""
 
     def __init__(self, model: NameModel):
         self.model = model
@@ -166,7 +166,7 @@ class Reader:
             if len(self.cache) > 200_000:
                 self.cache.clear()
             shown = visible(text)
-            found = self.cache[text] = tuple(dict.fromkeys((plain_form(shown), read(shown, self.model), read(shown, self.model, twins=False))))
+            found = self.cache[text] = (plain_form(shown), read(shown, self.model, twins=False), read(shown, self.model))
         return found
 
 
@@ -183,7 +183,7 @@ class Canonical:
     def __call__(self, text: str) -> tuple[str, int]:
         """One form of a text, and the id of the name it is or -1."""
         forms = self.reader(text)
-        return next(((f, self.names[f]) for f in forms if f in self.names), (forms[-1], -1))
+        return next(((f, self.names[f]) for f in forms if f in self.names), (forms[1], -1))
 
     def disguised(self, text: str) -> int:
         """Id of the name that a text looks like while made of other characters, else -1."""
@@ -238,11 +238,11 @@ def _matched(odd: DataFrame, listed: DataFrame, reader_of: NameModel) -> DataFra
     out = odd.withColumn("_r", readings(F.col("t")))
     names = small(listed)
     found = []
-    for i in range(3):  # a text has three readings at most
+    for i in range(3):
         out = out.join(names.select(*[F.col(c).alias(f"_{c}{i}") for c in ("f", "id", "own")]), F.get("_r", F.lit(i)) == F.col(f"_f{i}"), "left")
         found.append(F.when(F.col(f"_f{i}").isNotNull(), F.struct(F.col(f"_f{i}").alias("f"), F.col(f"_id{i}").alias("id"), F.col(f"_own{i}").alias("own"))))
     first = F.coalesce(*found)
-    out = out.withColumn("_x", first).withColumns({"_forma": F.coalesce("_x.f", F.element_at("_r", -1)), "_id": F.col("_x.id"), "_own": F.col("_x.own")})
+    out = out.withColumn("_x", first).withColumns({"_forma": F.coalesce("_x.f", F.get("_r", F.lit(1))), "_id": F.col("_x.id"), "_own": F.col("_x.own")})
     return out.drop("_x", *[f"_{c}{i}" for c in ("f", "id", "own") for i in range(3)])
 
 
