@@ -30,3 +30,25 @@ def utm_epsg(lon: Column, lat: Column) -> Column:
 def threshold_cells(hectares: float, cell: float) -> int:
     """Cells that a catchment of so many hectares holds, at least 1."""
     return max(1, round(hectares * 10000 / (cell * cell)))
+
+
+def width_table(rows: list[tuple[str, str]]) -> dict[int, float]:
+    """Widths by order from typed rows (order, width); points or commas mark decimals, rows that hold no two numbers are passed over, the later of two equal orders counts."""
+    out = {}
+    for order, width in rows:
+        try:
+            out[int(str(order).strip())] = float(str(width).strip().replace(",", "."))
+        except ValueError:
+            continue
+    return out
+
+
+def scenario_numbers(text: str, default: tuple[int, ...] = (1, 2, 3)) -> tuple[int, ...]:
+    """Numbers of centres from a typed list parted by commas or semicolons: whole numbers from 1, in order, each once; ``default`` if there is none."""
+    parts = (p.strip() for p in (text or "").replace(";", ",").split(","))
+    return tuple(sorted({int(p) for p in parts if p.isdecimal() and int(p) >= 1})) or default
+
+
+def exit_point(x: float | None, y: float | None) -> tuple[float, float] | None:
+    """The point where roads leave; (0, 0) and a missing coordinate are undefined."""
+    return None if x is None or y is None or (x, y) == (0, 0) or x != x or y != y else (float(x), float(y))

@@ -183,10 +183,14 @@ def leading_species(tree: DataFrame, n: int = 3) -> DataFrame:
     return top.groupBy("censo_id").agg(text.alias("principales"), F.sum("v").alias("volumen_milesimas"))
 
 
-def exclusion_reasons(tree: DataFrame) -> DataFrame:
-    """Trees that are left out, and all reasons that hold."""
+def exclusion_reasons(tree: DataFrame, strip_trees: DataFrame | None = None) -> DataFrame:
+    """Trees that are left out, and all reasons that hold. ``strip_trees`` lists the fid of trees in a riparian strip."""
     seed = F.upper(F.coalesce("categoria", F.lit(""))).startswith("SEM")
-    reasons = F.concat_ws("; ", F.when(F.col("bajo_dmc"), "bajo DMC"), F.when(seed, "semillero"), F.when(~F.col("aprovechable") & ~seed, "categoria"))
+    in_strip = F.lit(False)
+    if strip_trees is not None:
+        tree = tree.join(strip_trees.select("fid", F.lit(True).alias("_strip")).distinct(), "fid", "left")
+        in_strip = F.col("_strip").isNotNull()
+    reasons = F.concat_ws("; ", F.when(F.col("bajo_dmc"), "bajo DMC"), F.when(seed, "semillero"), F.when(in_strip, "faja"), F.when(~F.col("aprovechable") & ~seed, "categoria"))
     return tree.select("fid", reasons.alias("motivo")).where("motivo <> ''")
 
 
@@ -204,3 +208,99 @@ def unique_values(df: DataFrame, column: str, most: int = 500) -> DataFrame:
 def class_breaks(df: DataFrame, value: Column, shares: tuple[float, ...]) -> DataFrame:
     """Break values of a map legend, linear between neighbouring values."""
     return df.select(value.alias("v")).where("v is not null").agg(*[F.bround(F.percentile("v", F.lit(q)), 6).alias(f"p{round(q * 100)}") for q in shares])
+
+
+# Names that a field of each role may have, in the order in which they are looked for.
+FIELD_NAMES = {
+    "id": "id_arbol n_arbol narbol cod_arbol codigo n no nro num id",
+    "especie": "especie nom_cient nombre_cientifico nom_comun cod_especi cod_especie sp",
+    "categoria": "tipo categoria cat condicion clase aprovecham",
+    "dap": "dap dap_m dap_cm d_a_p diametro diam df cap cap_cm",
+    "altura": "hc h_com hcom altura_comercial alt_com alt_comerc altura h",
+    "volumen": "vol3 volumen vol vol_m3 volumen_m3 vol_com vol_total",
+    "parcela": "bq bloque faja parcela pca sector est_ est",
+}
+
+
+def field_roles(fields: DataFrame, name: str = "campo") -> DataFrame:
+    """Rol, campo: the field of each role, null where none fits. ``fields`` lists names with their place (``orden``); comparable names count, the first field wins where two are alike, and the first alias that a field has."""
+    aliases = F.array(*[F.struct(F.lit(r).alias("rol"), F.lit(a).alias("k"), F.lit(i).alias("i")) for r, names in FIELD_NAMES.items() for i, a in enumerate(names.split())])
+    wanted = fields.sparkSession.range(1).select(F.explode(aliases).alias("a")).select("a.*")
+    own = fields.groupBy(normalize_field(name).alias("k")).agg(F.min_by(name, "orden").alias("campo"))
+    return wanted.join(own, "k", "left").groupBy("rol").agg(F.min_by("campo", F.when(F.col("campo").isNotNull(), F.col("i"))).alias("campo"))
+
+
+def to_metres(reading: Column, mode: Column) -> Column:
+    """Diameter in metres of a reading by its mode: metres, centimetres, or centimetres around; null for other modes."""
+    return F.when(mode == "DAP_M", reading).when(mode == "DAP_CM", reading / 100).when(mode == "CAP_CM", reading / math.pi / 100)
+
+
+def diameters_by_mode(dirty: DataFrame, config: DataFrame) -> DataFrame:
+    """Fid, dap_m (6 decimals) of each reading by the mode that its census declares."""
+    modes = config.groupBy("censo_id").agg(F.min("diameter_mode").alias("_mode"))
+    j = dirty.select("fid", "censo_id", as_float("dap_txt").alias("_v")).join(small(modes), "censo_id", "left")
+    return j.select("fid", F.bround(to_metres(F.col("_v"), F.col("_mode")), 6).alias("dap_m"))
+
+
+def load_checks(tree: DataFrame, config: DataFrame) -> DataFrame:
+    """First reason why a row is refused, by its census: where volumes are computed (no volume field) diameter and then height must be there, else only the volume. '' if none."""
+    modes = config.groupBy("censo_id").agg(F.max(F.col("field_volumen").isNotNull()).alias("_field"))
+    j = tree.select("fid", "censo_id", real("dap_m").alias("d"), real("altura_m").alias("h"), real("volumen_m3").alias("v")).join(small(modes), "censo_id", "left")
+    computed = F.when(F.col("d").isNull(), "dap").when(F.col("h").isNull(), "altura").otherwise("")
+    return j.select("fid", F.when(F.coalesce(F.col("_field"), F.lit(False)), F.when(F.col("v").isNull(), "volumen").otherwise("")).otherwise(computed).alias("rechazo"))
+
+
+def joined_spellings(tree: DataFrame) -> DataFrame:
+    """A3: names of which there is more than one spelling: the spellings in order, joined."""
+    s = tree.select(normalize_species("especie").alias("especie_norm"), strip("especie").alias("s")).where("especie_norm <> ''").distinct()
+    return s.groupBy("especie_norm").agg(F.array_join(F.array_sort(F.collect_list("s")), " / ").alias("grafias"), F.count("*").alias("n")).where("n > 1")
+
+
+def implied_factor_mode(tree: DataFrame) -> DataFrame:
+    """A4: of each census the most frequent implied factor to 4 decimals, the first seen (by fid) on a tie, its count and how many differ."""
+    t = tree.select("censo_id", "fid", real("dap_m").alias("d"), real("altura_m").alias("h"), real("volumen_m3").alias("v"))
+    f = t.select("censo_id", "fid", F.floor(F.col("v") / (basal(F.col("d")) * F.col("h")) * 10000 + 0.5).alias("k")).where("k is not null")
+    counts = f.groupBy("censo_id", "k").agg(F.count("*").alias("n"), F.min("fid").alias("first"))
+    best = counts.groupBy("censo_id").agg(F.max(F.struct("n", (-F.col("first")).alias("f"), "k")).alias("b"), F.sum("n").alias("total"))
+    return best.select("censo_id", F.col("b.k").alias("factor_10000"), F.col("b.n").alias("n"), (F.col("total") - F.col("b.n")).alias("incoherentes"))
+
+
+def under_limit(tree: DataFrame, top: int = 5) -> DataFrame:
+    """The ``top`` spellings with most trees under their limit: n and volume; the spelling first in order on a tie. The limit is the operator's."""
+    t = tree.where("bajo_dmc").select(strip("especie").alias("especie"), thousandths(real("volumen_m3")).alias("v"))
+    g = t.groupBy(F.coalesce("especie", F.lit("")).alias("especie")).agg(F.count("*").alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("volumen_milesimas"))
+    return g.orderBy(F.desc("n"), "especie").limit(top)
+
+
+def species_means(tree: DataFrame, hectares: int) -> DataFrame:
+    """Of each species of harvestable trees, under its first spelling by fid, mean volume and trees and volume a hectare, as whole numbers (thousandths, ten-thousandths), with a TOTAL row."""
+    t = tree.where("aprovechable").select("fid", normalize_species("especie").alias("k"), strip("especie").alias("s"), thousandths(real("volumen_m3")).alias("v"))
+    g = t.rollup("k").agg(F.grouping("k").alias("g"), F.min_by("s", F.when(F.col("s").isNotNull(), F.col("fid"))).alias("s"), F.count("*").alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
+    label = F.when(F.col("g") == 1, "TOTAL").when(F.col("k") == "", "sin especie").otherwise(F.col("s"))
+    return g.select(F.col("k").alias("clave"), label.alias("especie"), "n", F.floor(F.col("v") / F.col("n")).alias("volumen_medio"), F.floor(F.col("n") * 10000 / hectares).alias("n_ha_10000"), F.floor(F.col("v") * 10 / hectares).alias("volumen_ha_10000"))
+
+
+def diameter_classes(tree: DataFrame) -> DataFrame:
+    """Harvestable trees of every species and every 10 cm class (inferior, cm; null without a diameter), with the totals of species, of classes and of all ('TOTAL'; todas)."""
+    low = F.floor(F.floor(real("dap_m") * 1000 + 0.5) / 100) * 10
+    t = tree.where("aprovechable").select(normalize_species("especie").alias("k"), low.alias("inferior"), thousandths(real("volumen_m3")).alias("v"))
+    g = t.cube("k", "inferior").agg(F.grouping("k").alias("a"), F.grouping("inferior").alias("b"), F.count("*").alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("volumen_milesimas"))
+    return g.select(F.when(F.col("a") == 1, "TOTAL").otherwise(F.col("k")).alias("especie"), "inferior", (F.col("b") == 1).alias("todas"), "n", "volumen_milesimas")
+
+
+def equal_breaks(df: DataFrame, value: Column, classes: int = 4) -> DataFrame:
+    """The ends of ``classes`` classes of equal width; one unit wide in all if all values are alike."""
+    g = df.agg(F.min(value).alias("a"), F.max(value).alias("b"))
+    top = F.when(F.col("b") > F.col("a"), F.col("b")).otherwise(F.col("a") + 1)
+    return g.select(*[F.bround(F.col("a") + (top - F.col("a")) * i / classes, 6).alias(f"corte{i}") for i in range(classes + 1)])
+
+
+def limit_breaks(df: DataFrame, value: Column, limit: float) -> DataFrame:
+    """Breaks around a limit: none, half of it, 85 %, itself, 125 %, and the largest value, at least half beyond."""
+    g = df.agg(F.max(value).alias("m"))
+    return g.select(*[F.bround(F.lit(limit * k), 6).alias(n) for n, k in (("corte0", 0.0), ("corte1", 0.5), ("corte2", 0.85), ("corte3", 1.0), ("corte4", 1.25))], F.bround(F.greatest(F.coalesce("m", F.lit(0.0)).cast("double"), F.lit(limit * 1.5)), 6).alias("corte5"))
+
+
+def selected(tree: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """Rows of which the key is selected, each once however often it is; null keys are never selected."""
+    return tree.join(chosen.select(key).distinct(), key, "left_semi")

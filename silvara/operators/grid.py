@@ -17,6 +17,12 @@ def cell_statistics(grid: DataFrame) -> DataFrame:
     return grid.agg(F.count("*").alias("celdas"), F.sum("n").alias("n"), F.sum("volumen").alias("volumen"), F.max("n").alias("n_max"), F.max("volumen").alias("volumen_max"))
 
 
+def cell_means(grid: DataFrame, side: float = 100.0) -> DataFrame:
+    """Means a hectare over occupied cells, and the hectares that they cover."""
+    ha = side * side / 10000.0
+    return grid.agg((F.count("*") * ha).alias("hectareas"), F.bround(F.avg(F.col("n") / ha), 4).alias("densidad"), F.bround(F.avg(F.col("volumen") / ha), 4).alias("intensidad"))
+
+
 def exceedance(grid: DataFrame, most_volume: int, most_trees: int) -> DataFrame:
     """Cells over a limit, the excess, and the larger of the relative excesses in ten-thousandths; a limit of 0 is off."""
     def over(c: str, limit: int) -> Column:

@@ -24,6 +24,8 @@ UNITS = 200
 PAIR_BITS = 2
 #: A block of the region join holds 2 ** bits cells: of each tier of squares.
 TIER_BITS = (6, 14, 22, 30, 38, 46)
+#: Regions that a task covers.
+TASK_REGIONS = 500
 #: Levels of squares beyond a block that are cut into its blocks before the next tier takes them.
 SPARE = 2
 #: No position on Earth is further from the origin in metres; cells are so large that codes reach as far.
@@ -208,7 +210,9 @@ def region_ranges(regions: DataFrame, key: str, ring: str, cell_m: float) -> Dat
                 yield pd.DataFrame(out, columns=["id", "tier", "lo", "hi", "x0", "y0", "x1", "y1"])
 
     src = regions.where(F.col(ring).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(ring, lambda p: p["x"]).alias("xs"), F.transform(ring, lambda p: p["y"]).alias("ys"))
-    return ship(src).mapInPandas(cover, "id long, tier int, lo long, hi long, x0 array<long>, y0 array<long>, x1 array<long>, y1 array<long>")
+    # Rings are little data and much work, so they are spread by number.
+    spread = src.repartition(src.count() // TASK_REGIONS + src.sparkSession.sparkContext.defaultParallelism)
+    return ship(spread).mapInPandas(cover, "id long, tier int, lo long, hi long, x0 array<long>, y0 array<long>, x1 array<long>, y1 array<long>")
 
 
 def odd_crossings(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

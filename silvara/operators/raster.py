@@ -155,3 +155,83 @@ def cost_surface(
     v = v + crossing_cost(F.col("orden"))
     v = F.when(valid & v.isNotNull() & ~F.isnan(v), F.least(F.greatest(v, F.lit(0.01)), F.lit(ceiling))).otherwise(ceiling)
     return j.select("r", "c", F.bround(v, 4).alias("costo"))
+
+
+def wet_fusion(
+    hand: DataFrame, thematic: DataFrame, twi: DataFrame | None = None, full: float = 2.0, none: float = 8.0, hand_weight: float = 0.6, thematic_weight: float = 1.0,
+    hand_floor: float = 0.55, thematic_floor: float = 0.80, twi_from: float = 10.0, twi_weight: float = 0.3,
+) -> DataFrame:
+    """Wetness and confidence of each cell from terrain and maps: r, c, humedad (0 to 1), nivel (0 none, 1 terrain alone, 2 maps alone, 3 both).
+
+    Terrain falls from 1 at ``full`` metres above drainage to 0 at ``none``; a cell without such a height has 0. ``twi`` adds ``twi_weight`` of a ramp of 4 above ``twi_from``. Maps
+    (cercania, already weighted) count 0 where they are missing. Both agree at one half; agreement gives 1, one alone at least its floor.
+    """
+    j = hand.join(thematic.select("r", "c", "cercania"), ["r", "c"], "left")
+    height = F.col("hand")
+    land = F.when(height.isNotNull() & ~F.isnan(height), ramp(height, full, none)).otherwise(0.0)
+    if twi is not None:
+        j = j.join(twi.select("r", "c", "twi"), ["r", "c"], "left")
+        land = F.least(F.greatest(land + twi_weight * F.coalesce(ramp(-F.col("twi"), -twi_from - 4.0, -twi_from), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    told = F.coalesce(F.col("cercania"), F.lit(0.0))
+    level = (land >= 0.5).cast("int") + 2 * (told >= 0.5).cast("int")
+    both = F.greatest(land * hand_weight, told * thematic_weight)
+    floor = F.when(level == 3, 1.0).when(level == 2, thematic_floor).when(level == 1, hand_floor).otherwise(0.0)
+    return j.select("r", "c", F.bround(F.least(F.greatest(both, floor), F.lit(1.0)), 6).alias("humedad"), level.alias("nivel"))
+
+
+def wet_summary(fused: DataFrame, hand: DataFrame, cell: float) -> DataFrame:
+    """Cells and hectares (3 decimals) of each level, and the median height above drainage of all cells that have one."""
+    middle = hand.where(~F.isnan("hand")).agg(F.bround(F.percentile("hand", F.lit(0.5)), 6).alias("hand_mediana"))
+    return fused.groupBy("nivel").agg(F.count("*").alias("celdas")).withColumn("hectareas", F.bround(F.col("celdas") * (cell * cell / 10000.0), 3)).join(middle)  # one row
+
+
+def cost_findings(cost: DataFrame, slope: DataFrame, exclusion: DataFrame, veto: DataFrame, limit: float = 8.0, ceiling: float = 100000.0) -> DataFrame:
+    """One row of statistics of a cost surface and its avisos: exclusions over 25 % of the cells (over 60 % an error), vetoes over 40 % (an error), costs that vary by less than 0.15 of
+    their mean, slopes over the limit on more than 40 %. Vetoed cells count in the shares and not in the statistics."""
+    inside = exclusion.select("r", "c", (F.col("cercania") >= 1).alias("_x"))
+    j = cost.join(slope, ["r", "c"], "left").join(inside, ["r", "c"], "left").join(veto.select("r", "c", F.lit(True).alias("_v")).distinct(), ["r", "c"], "left")
+    open_ = F.col("costo") < ceiling
+    v = F.when(open_, F.col("costo"))
+    share = lambda cond: F.count_if(F.coalesce(cond, F.lit(False))) / F.count("*")
+    s = j.agg(
+        F.count("*").alias("celdas"), F.count_if(~open_).alias("vetadas"), F.min(v).alias("costo_min"), F.max(v).alias("costo_max"), F.bround(F.avg(v), 4).alias("costo_medio"),
+        share(F.col("_x")).alias("_px"), share(F.col("_v")).alias("_pv"), share(F.col("pendiente") > limit).alias("_ps"), F.avg(v).alias("_m"),
+    )
+    spread = F.try_divide(F.col("costo_max") - F.col("costo_min"), F.col("_m"))
+    told = [
+        F.when(F.col("_px") > 0.6, "error: exclusiones").when(F.col("_px") > 0.25, "exclusiones"), F.when(F.col("_pv") > 0.4, "error: veto"),
+        F.when(spread < 0.15, "costo uniforme"), F.when(F.col("_ps") > 0.4, "pendiente"),
+    ]
+    return s.select("celdas", "vetadas", "costo_min", "costo_max", "costo_medio", F.bround(spread, 4).alias("variacion"), F.array_join(F.array_compact(F.array(*told)), "; ").alias("avisos"))
+
+
+def grid_template(cells: DataFrame, cell: float) -> DataFrame:
+    """The grid that holds all cells: fila0, columna0, filas, columnas, x0, y0 (lower left corner), lado."""
+    g = cells.agg(F.min("r").alias("fila0"), F.min("c").alias("columna0"), (F.max("r") - F.min("r") + 1).alias("filas"), (F.max("c") - F.min("c") + 1).alias("columnas"))
+    return g.select("*", (F.col("columna0") * cell).alias("x0"), (F.col("fila0") * cell).alias("y0"), F.lit(float(cell)).alias("lado"))
+
+
+def coregistered(a: DataFrame, b: DataFrame) -> DataFrame:
+    """How two rasters fit: comunes, solo_a, solo_b (cells), coinciden. A full join of cells, so nothing that one of them lacks is passed over in silence."""
+    j = a.select("r", "c", F.lit(True).alias("_a")).distinct().join(b.select("r", "c", F.lit(True).alias("_b")).distinct(), ["r", "c"], "full_outer")
+    both, left, right = F.count_if(F.col("_a") & F.col("_b")), F.count_if(F.col("_b").isNull()), F.count_if(F.col("_a").isNull())
+    return j.agg(both.alias("comunes"), left.alias("solo_a"), right.alias("solo_b"), ((left == 0) & (right == 0)).alias("coinciden"))
+
+
+def strip_cells(segments: DataFrame, width: str, cell: float) -> DataFrame:
+    """Cells (r, c) whose centre lies within half a ``width`` of any segment, each once: strips dissolved. Their number times the cell's area is the real area, to the grain of the cells."""
+    reach = F.col(width) / 2
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    rows = segments.withColumn("r", F.explode(F.sequence(F.floor((F.least(y1, y2) - reach) / cell), F.floor((F.greatest(y1, y2) + reach) / cell))))
+    # Of a row of cells only the columns that the strip can reach there.
+    dy = y2 - y1
+    lo, hi = F.col("r") * cell - reach, (F.col("r") + 1) * cell + reach
+    at = lambda y: F.coalesce(x1 + F.least(F.greatest(F.try_divide(y - y1, dy), F.lit(0.0)), F.lit(1.0)) * (x2 - x1), x1)
+    left = F.when(dy == 0, F.least(x1, x2)).otherwise(F.least(at(lo), at(hi))) - reach
+    right = F.when(dy == 0, F.greatest(x1, x2)).otherwise(F.greatest(at(lo), at(hi))) + reach
+    cells = rows.withColumn("c", F.explode(F.sequence(F.floor(left / cell), F.floor(right / cell))))
+    px, py, dx = (F.col("c") + 0.5) * cell, (F.col("r") + 0.5) * cell, x2 - x1
+    l2 = dx * dx + dy * dy
+    t = F.least(F.greatest(F.coalesce(F.try_divide((px - x1) * dx + (py - y1) * dy, l2), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    d2 = (px - x1 - t * dx) * (px - x1 - t * dx) + (py - y1 - t * dy) * (py - y1 - t * dy)
+    return cells.where(d2 <= reach * reach).select("r", "c").distinct()

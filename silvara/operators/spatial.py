@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from silvara.operators.proximity import located, points_in_regions
 from silvara.runtime import cut, drop, ship
 
 
@@ -177,3 +178,26 @@ def snap_to_ring(sites: DataFrame, key: str, free: Column, step: float = 25.0, r
     tried = sites.withColumn("_o", F.explode(spots)).withColumns({"qx": F.col("px") + F.col("_o.ox"), "qy": F.col("py") + F.col("_o.oy")})
     best = tried.groupBy(key).agg(F.min(F.when(free, F.struct("_o.ring", "_o.i", "qx", "qy"))).alias("b"))
     return best.select(key, F.col("b.ring").alias("anillo"), F.col("b.i").alias("i"), F.bround("b.qx", 4).alias("qx"), F.bround("b.qy", 4).alias("qy"))
+
+
+def hectares(regions: DataFrame, key: str, ring: str) -> DataFrame:
+    """``key`` and hectareas of each ring, by the sum over its sides from its first corner; a ring of fewer than three corners has none."""
+    p = F.col(ring)
+    a, b = lambda i: F.get(p, i), lambda i: F.get(p, (i + 1) % F.size(p))
+    f = F.get(p, F.lit(0))
+    part = lambda i: (a(i)["x"] - f["x"]) * (b(i)["y"] - f["y"]) - (b(i)["x"] - f["x"]) * (a(i)["y"] - f["y"])
+    twice = F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), F.lit(0.0), lambda acc, i: acc + part(i))
+    return regions.where(F.size(p) >= 3).select(key, F.bround(F.abs(twice) / 2 / 10000, 4).alias("hectareas"))
+
+
+def outside(points: DataFrame, key: str, regions: DataFrame) -> DataFrame:
+    """``key`` of the points (x, y) that lie in no region (zona_id, ring). A point without a place lies in none."""
+    ids = points.select(F.col(key).alias("_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    hit = points_in_regions(located(ids, "_id"), regions).select(F.col("id_a").alias(key)).distinct()
+    return points.select(key).join(hit, key, "left_anti")
+
+
+def crossing_counts(lines: DataFrame, barriers: DataFrame, key: str, barrier: str, side: float = 500.0) -> DataFrame:
+    """Of each line (x1, y1, x2, y2) the barriers that it meets, touching included; a barrier of several parts counts by its parts. Lines that meet none have 0."""
+    met = crossing_pairs(lines, barriers, key, barrier, side).groupBy(key).agg(F.count("*").alias("cruces"))
+    return lines.select(key).join(met, key, "left").select(key, F.coalesce("cruces", F.lit(0)).alias("cruces"))

@@ -35,13 +35,33 @@ VIEWS = {
         select cast(floor(id / 64) as bigint) as r, cast(id % 64 as bigint) as c,
                cast(100 + 2 * abs(id % 64 - 32) + (64 - floor(id / 64)) as double) as z
         from range(4096) t(id)""",
+    # The same with single cells that are 9 m too deep.
+    "hoyos": """
+        select cast(floor(id / 64) as bigint) as r, cast(id % 64 as bigint) as c,
+               cast(100 + 2 * abs(id % 64 - 32) + (64 - floor(id / 64)) as double)
+               - case when (floor(id / 64) * 7 + id % 64 * 3) % 23 = 0 and floor(id / 64) between 2 and 61 and id % 64 between 2 and 61 then cast(9 as double) else cast(0 as double) end as z
+        from range(4096) t(id)""",
+    # Squares of 1.4 km with gaps between.
+    "cuadros": """
+        select cast(n_nationkey as bigint) as zona_id, (n_nationkey % 5) * 2000 + cast(300.25 as double) as x0, floor(n_nationkey / 5) * 2000 + cast(300.25 as double) as y0, cast(1400 as double) as lado
+        from nation""",
+    # Places in degrees, west and east, north and south, with the code of a coordinate system.
+    "lugares": """
+        select s_suppkey + 1 as id, cast(s_suppkey * 37 % 358 as double) - cast(179 as double) + cast(0.123456 as double) as lon, cast(s_suppkey * 53 % 160 as double) - cast(80 as double) + cast(0.654321 as double) as lat,
+               case s_suppkey % 6 when 0 then 4326 when 1 then 32719 when 2 then 3857 when 3 then 32618 when 4 then 0
+                    else 32000 + case when s_suppkey * 53 % 160 - 80 < 0 then 700 else 600 end + cast(floor((s_suppkey * 37 % 358 - 179 + 0.123456 + 180) / 6) as int) + 1 end as codigo
+        from supplier""",
+    # Thematic rules, good and bad; values are parted by |.
+    "reglas": """
+        select * from (values (1, 'zonas', 'clase', 'humedal|ladera', 'IMPEDIMENTO_FISICO', cast(0.85 as double)), (2, 'zonas', 'clase', 'comunidad', 'VETO_LEGAL', cast(1 as double)),
+            (3, '', 'clase', 'faja', 'VETO_LEGAL', cast(1 as double)), (4, 'zonas', '', 'faja', 'OTRO', cast(1.5 as double)), (5, 'zonas', 'clase', 'O''Higgins|Aguajal alto', 'PREFERENCIA', cast(0.35 as double)), (6, 'zonas', 'clase', cast(null as varchar(10)), 'VETO_LEGAL', cast(1 as double))) t(regla, capa, campo, valores, rol, peso)""",
 }
 
 
 def view(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A derived input over the tables of a data folder."""
     text = VIEWS[name]
-    tables = [t for t in ("lineitem", "part", "supplier") if re.search(rf"\b(from|join) {t}\b", text)]
+    tables = [t for t in ("lineitem", "part", "supplier", "nation") if re.search(rf"\b(from|join) {t}\b", text)]
     for t in tables:
         text = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", text)
     return spark.sql(text, **{t: table(spark, d, t) for t in tables})

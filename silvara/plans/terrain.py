@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from silvara.functions.lookup import floor_lookup
 from silvara.operators import allocation, flow, grid, raster, routing, spatial
 from silvara.plans.fixtures import ctes, view
+from silvara.runtime import cut
 from silvara.sources import table
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
@@ -92,8 +93,19 @@ def _assigned(s: SparkSession, d: str) -> DataFrame:
 
 
 def yard_invariants(s: SparkSession, d: str) -> DataFrame:
-    """Assigned trees beyond the radius."""
-    return _assigned(s, d).agg(F.count_if(F.col("dist") > 150).alias("fuera"))
+    """What an assignment must hold: every tree once, none beyond the radius, no site beyond its capacity, and no orphan that a site with room could take."""
+    a = cut(_assigned(s, d))
+    trees = view(s, d, "puntos").select(F.xxhash64(*KEY).alias("key"), "x", "y", F.expr(f"({VOLUME}) / 100000.0").cast("double").alias("v"))
+    load = a.where("patio_id > 0").join(trees.select("key", "v"), "key").groupBy("patio_id").agg(F.sum("v").alias("l"))
+    lost = trees.join(a.where("patio_id = -1").select("key"), "key", "left_semi")
+    missed = spatial.within(lost, view(s, d, "patios"), 150.0).join(load, "patio_id", "left").where(F.coalesce("l", F.lit(0.0)) + F.col("v") <= 350.0 - 1e-6)
+    return a.agg(F.count("*").alias("arboles"), F.count_if(F.col("dist") > 150).alias("fuera")).join(load.agg(F.count_if(F.col("l") > 350.0 + 1e-6).alias("rebasados"))).join(missed.agg(F.count("*").alias("olvidados")))
+
+
+def network_cycles(s: SparkSession, d: str) -> DataFrame:
+    """H8: segments on a cycle, which have no order: the network with its outlet turned into the seventh segment."""
+    t = view(s, d, "tramos").withColumn("down_sid", F.when(F.col("sid") == 1, F.lit(7).cast("long")).otherwise(F.col("down_sid")))
+    return flow.stream_orders(t).where("strahler is null").select("sid")
 
 
 def centre_scenarios(s: SparkSession, d: str) -> DataFrame:
@@ -145,6 +157,8 @@ QUERIES = {
     "node_keys": lambda s, d: view(s, d, "tramos").select("sid", flow.node_key(F.col("x1"), 0.5).alias("kx"), flow.node_key(F.col("y1"), 0.5).alias("ky")),
     "edge_weights": lambda s, d: _graph(s, d, 2),
     "least_cost": lambda s, d: routing.least_costs(_graph(s, d, 4), _channel(s, d)),
+    "least_cost_values": lambda s, d: routing.least_costs(_graph(s, d, 1), _channel(s, d)).select("r", "c", F.bround("costo", 3).alias("costo")),
+    "network_cycles": network_cycles,
     "smoothed_lines": smoothed_lines,
     "yard_plan": _assigned,
     "yard_invariants": yard_invariants,
@@ -241,5 +255,18 @@ SQL = {
     "smoothed_lines": f"""{ctes('tramos')}, p as (select sid, [{{'x': x1, 'y': y1}}, {{'x': x2, 'y': y2}}, {{'x': x1, 'y': y2}}] as l from tramos),
         q as (select sid, [l[1], {', '.join(f"{{'x': l[{a}].x + (l[{a + 1}].x - l[{a}].x) * {t}::double, 'y': l[{a}].y + (l[{a + 1}].y - l[{a}].y) * {t}::double}}" for a in (1, 2) for t in (0.25, 0.75))}, l[3]] as m from p)
         select sid, i as i, round_even(m[i + 1].x, 4) as x, round_even(m[i + 1].y, 4) as y from q, range(0, 6) r(i)""",
-    "yard_invariants": "select cast(0 as bigint) as fuera",
+    "yard_invariants": f"{ctes('puntos')} select count(*) as arboles, cast(0 as bigint) as fuera, cast(0 as bigint) as rebasados, cast(0 as bigint) as olvidados from puntos",
+    "filled_dem": f"{ctes('dem')} select r, c, z from dem",
+    "stream_strahler": f"""{ctes('tramos')}, l as (select sid, down_sid, cast(floor(log2(sid)) as integer) as l from tramos),
+        o as (select sid, l, 1 as o from l where l = (select max(l) from l)
+            union all select sid, any_value(l), case when count(o) = 0 then 1 when count(o) filter (o = m) > 1 then any_value(m) + 1 else any_value(m) end
+            from (select p.sid, p.l, k.o, max(k.o) over (partition by p.sid) as m from l p left join (select l.down_sid, o.o from o join l using (sid)) k on k.down_sid = p.sid where p.l = (select max(l) from o) - 1) group by sid)
+        select sid, cast(o as bigint) as strahler from o""",
+    "network_cycles": f"{ctes('tramos')}, t as (select sid, case when sid = 1 then 7 else down_sid end as d from tramos), w as (select sid as s, d from t union select w.s, t.d from w join t on t.sid = w.d) select distinct s as sid from w where s = d",
+    "least_cost_values": f"""{ctes('dem')}, o(a, b, d) as (values {', '.join(f'({a}, {b}, {math.hypot(a, b) * CELL!r}::double)' for a, b in routing.neighbourhood(1))}),
+        e as (select m.r, m.c, n.r as r2, n.c as c2, o.d, 1.0::double + m.c % 3 as k1, 1.0::double + n.c % 3 as k2, 100 * (n.z - m.z) / o.d as g from dem m, o join dem n on n.r = m.r + o.a and n.c = m.c + o.b),
+        s as (select *, abs(g) / (case when -g > 0 then 4.0 else 8.0 end) as s from e), w as (select r, c, r2, c2, round_even((k1 + k2) / 2 * d * (1 + 1.0 * s * s) * (case when s > 1.5 then 50.0 else 1.0 end), 4) as w from s),
+        best(r, c, costo) using key (r, c) as (select r, c, 0.0::double from dem where c = 32
+            union (select w.r2, w.c2, min(b.costo + w.w) from best b join w on b.r = w.r and b.c = w.c left join recurring.best x on x.r = w.r2 and x.c = w.c2 where x.costo is null or b.costo + w.w < x.costo - 1e-9 group by w.r2, w.c2))
+        select r, c, round_even(costo, 3) as costo from best""",
 }

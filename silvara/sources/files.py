@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from silvara.functions.text import as_float, normalize_species, strip
+from silvara.runtime import cut, small
 
 
 def reference_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -18,20 +19,31 @@ def reference_csv(spark: SparkSession, path: str) -> DataFrame:
     return clean.where("especie <> '' and dmc_cm is not null")
 
 
-def merge_reference(found: DataFrame, existing: DataFrame) -> DataFrame:
-    """Species of a table, first spelling of each comparable name, with the values that the existing list has."""
-    first = found.where(normalize_species("especie") != "").groupBy(normalize_species("especie").alias("k")).agg(F.min("especie").alias("especie"))
+def merge_reference(found: DataFrame, existing: DataFrame, order: str | None = None) -> DataFrame:
+    """Species of a table, first spelling (by ``order``, else the first in order of letters) of each comparable name, with the values that the existing list has."""
+    first = F.min_by(strip("especie"), order) if order else F.min(strip("especie"))
+    first = found.where(normalize_species("especie") != "").groupBy(normalize_species("especie").alias("k")).agg(first.alias("especie"))
     return first.join(existing.select(normalize_species("especie").alias("k"), "dmc_cm").dropDuplicates(["k"]), "k", "left").select("especie", "dmc_cm")
 
 
 def ascii_grid(spark: SparkSession, path: str) -> DataFrame:
-    """S3: cells (r, c, v) of ESRI ASCII grids, one file a grid, without its no-data cells; ``grid`` holds corner and cell size."""
-    text = spark.read.text(path, wholetext=True)
-    head = {k: F.regexp_extract("value", rf"(?im)^\s*{k}\s+(\S+)", 1).cast("double") for k in ("ncols", "xllcorner", "yllcorner", "cellsize", "nodata_value")}
-    body = F.regexp_replace("value", r"(?im)^\s*[a-z_]+\s+\S+\s*$", " ")
-    cells = text.select(F.struct(head["xllcorner"].alias("x0"), head["yllcorner"].alias("y0"), head["cellsize"].alias("cell"), head["ncols"].cast("long").alias("ncols")).alias("grid"), head["nodata_value"].alias("_no"), F.posexplode(F.split(F.trim(F.regexp_replace(body, r"\s+", " ")), " ")).alias("_i", "_t"))
-    out = cells.select("grid", F.floor(F.col("_i") / F.col("grid.ncols")).alias("r"), (F.col("_i") % F.col("grid.ncols")).alias("c"), F.col("_t").try_cast("double").alias("v"), "_no")
-    return out.where("v is not null and (_no is null or v <> _no)").drop("_no")
+    """S3: cells (r, c, v) of ESRI ASCII grids, one line a row of cells, without no-data cells; ``grid`` holds corner, cell size and columns.
+
+    Files are read line by line in blocks: a line's row is its place within its block and the lines in the blocks before, so no grid is held whole.
+    """
+    text = spark.read.text(path).select(F.trim("value").alias("_l"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    named = F.col("_l").rlike("^[A-Za-z_]+\\s")
+    key, held = F.lower(F.regexp_extract("_l", r"^(\S+)", 1)), F.regexp_extract("_l", r"^\S+\s+(\S+)", 1).try_cast("double")
+    head = text.where(named).groupBy(F.col("_f").alias("_hf")).agg(*[F.max(F.when(key == k, held)).alias(f"_{k}") for k in ("ncols", "xllcorner", "yllcorner", "cellsize", "nodata_value")])
+    lines = cut(text.where(~named & (F.col("_l") != "")))
+    counts = lines.groupBy(F.col("_f").alias("_cf"), F.col("_b").alias("_cb")).agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy("_cf").orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = lines.withColumn("_p", F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_i")) - 1)
+    j = placed.join(small(head), F.col("_f") == F.col("_hf")).join(small(before), (F.col("_f") == F.col("_cf")) & (F.col("_b") == F.col("_cb")))  # a header a file
+    grid = F.struct(F.col("_xllcorner").alias("x0"), F.col("_yllcorner").alias("y0"), F.col("_cellsize").alias("cell"), F.col("_ncols").cast("long").alias("ncols"))
+    cells = j.select(grid.alias("grid"), (F.col("_base") + F.col("_p")).alias("r"), "_nodata_value", F.posexplode(F.split("_l", r"\s+")).alias("c", "_t"))
+    out = cells.select("grid", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("_t").try_cast("double").alias("v"), "_nodata_value")
+    return out.where("v is not null and (_nodata_value is null or v <> _nodata_value)").drop("_nodata_value")
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:

@@ -19,13 +19,12 @@ _PACK = "http://schemas.openxmlformats.org/package/2006"
 
 
 def column_letters(i: int) -> str:
-    """K4: letters of a column from 0."""
-    out = ""
-    i += 1
-    while i:
-        i, k = divmod(i - 1, 26)
-        out = chr(65 + k) + out
-    return out
+    """K4: letters of a column from 0: the names of one letter come first, then those of two, and so on, each as a number of base 26."""
+    letters, shorter = 1, 0
+    while i - shorter >= 26**letters:
+        shorter += 26**letters
+        letters += 1
+    return "".join(chr(65 + (i - shorter) // 26**k % 26) for k in reversed(range(letters)))
 
 
 def sheet_name(name: str) -> str:
@@ -120,8 +119,8 @@ def manifest(sources: DataFrame, parameters: dict, metrics: DataFrame) -> str:
 
 
 def write_reference_csv(df: DataFrame, path: str) -> None:
-    """K9: especie;dmc_cm as text."""
-    df.select("especie", "dmc_cm").write.mode("overwrite").csv(path, sep=";", header=True, encoding="UTF-8")
+    """K9: especie;dmc_cm as one text file that opens with a byte order mark; a list of species is small."""
+    df.select(F.col("especie").alias("\ufeffespecie"), "dmc_cm").coalesce(1).write.mode("overwrite").csv(path, sep=";", header=True, encoding="UTF-8")
 
 
 def ascii_grid_lines(cells: DataFrame, value: str, columns: int, nodata: float = -9999.0) -> DataFrame:
@@ -129,3 +128,19 @@ def ascii_grid_lines(cells: DataFrame, value: str, columns: int, nodata: float =
     g = cells.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct(F.col("c").cast("long"), F.col(value).cast("double")))).alias("m"))
     line = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(columns - 1).cast("long")), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(nodata)).cast("string")), " ")
     return g.select("r", line.alias("linea"))
+
+
+def features(df: DataFrame, geometry: str, properties: list[str]) -> DataFrame:
+    """K1: one GeoJSON feature a row as text, to be written by ``write.text``: a point from a struct (x, y), a line from an array of such points, a polygon from an array of rings, which are closed if they are open. Written row by row in the JVM, so a layer of any size streams; null geometries stay null."""
+    kind = df.schema[geometry].dataType
+    pair = lambda p: F.array(p["x"], p["y"])
+    g = F.col(geometry)
+    if kind.typeName() == "struct":
+        name, places = "Point", pair(g)
+    elif kind.elementType.typeName() == "struct":
+        name, places = "LineString", F.transform(g, pair)
+    else:
+        closed = lambda r: F.when(F.get(r, F.lit(0)) == F.element_at(r, -1), r).otherwise(F.concat(r, F.slice(r, 1, 1)))
+        name, places = "Polygon", F.transform(g, lambda r: F.transform(closed(r), pair))
+    shape = F.when(g.isNotNull(), F.struct(F.lit(name).alias("type"), places.alias("coordinates")))
+    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), shape.alias("geometry")), {"ignoreNullFields": "false"}).alias("value"))
