@@ -38,8 +38,9 @@ def within(points: DataFrame, sites: DataFrame, radius: float, x: str = "x", y:
     return j.withColumn("d2", squared(F.col(x), F.col(y), F.col(px), F.col(py))).where(F.col("d2") <= radius * radius)
 
 
-def _placed(df: DataFrame, x: str, y: str) -> Column:
-    return F.coalesce(~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")), F.lit(False))
+def _placed(x: str, y: str) -> Column:
+    """Whether both coordinates are there and numbers."""
+    return F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double"))
 
 
 def nearest(points: DataFrame, sites: DataFrame, key: str, site: str, most_sites: int = 50_000) -> DataFrame:
@@ -47,8 +48,8 @@ def nearest(points: DataFrame, sites: DataFrame, key: str, site: str, most_sites
 
     Up to ``most_sites`` go to all executors, where each batch of points is compared with them as arrays. More are met in cells, by radii that double until every point has met one.
     """
-    real = points.where(_placed(points, "x", "y")).select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    there = sites.where(_placed(sites, "px", "py")).select(site, F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"))
+    real = points.where(_placed("x", "y")).select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    there = sites.where(_placed("px", "py")).select(site, F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"))
     rows = there.limit(most_sites + 1).collect()
     if len(rows) > most_sites:
         return _nearest_in_cells(real, there, key, site)
