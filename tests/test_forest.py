@@ -149,7 +149,7 @@ def test_planned_yards_of_blocks(spark):
 
 
 def test_road_growth(spark):
-    cells = spark.createDataFrame([(1, r, c, 0.0, 1.0) for r in range(20) for c in range(20) if not (c == 10 and r != 3)] + [(2, r, c, 0.0, 1.0) for r in range(5) for c in range(5)], "plan long, r long, c long, z double, costo double")
+    cells = spark.createDataFrame([(1, r, c, 0.0, 1.0) for r in range(20) for c in range(20) if not (9 <= c <= 12 and r != 3)] + [(2, r, c, 0.0, 1.0) for r in range(5) for c in range(5)], "plan long, r long, c long, z double, costo double")
     goal = spark.createDataFrame([(1, 1, "principal", 195.0, 105.0, 5.0), (1, 2, "secundaria", 165.0, 35.0, 9.0), (1, 3, "principal", 999.0, 5.0, 7.0), (1, 4, "principal", 105.0, 105.0, 1.0), (2, 1, "principal", 45.0, 45.0, 3.0)], "plan long, destino long, jerarquia string, x double, y double, volumen double")
     start = spark.createDataFrame([(1, 5.0, 105.0), (2, 0.0, 0.0)], "plan long, x double, y double")
     none = spark.createDataFrame([], "plan long, via long, linea array<struct<x:double,y:double>>")
