@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silvara.operators.raster import RING, neighbours
+from silvara.operators.raster import RING, around, laid, neighbours, tiled
 from silvara.runtime import cut, drop
 
 
@@ -17,7 +17,7 @@ def drainage(dem: DataFrame, cell: float) -> DataFrame:
     """H1: the neighbour that each cell drains to by steepest descent (nr, nc; null in pits and flats); the first of the ring on a tie."""
     n = neighbours(dem, "z", RING)
     far = [cell * (2**0.5 if dr and dc else 1.0) for dr, dc in RING]
-    drop = [F.when(F.try_element_at("n", F.lit(k)).isNotNull(), (F.col("z") - F.try_element_at("n", F.lit(k))) / far[k]) for k in range(8)]
+    drop = [F.when(F.get("n", F.lit(k)).isNotNull(), (F.col("z") - F.get("n", F.lit(k))) / far[k]) for k in range(8)]
     best = F.greatest(*[F.struct(F.coalesce(d, F.lit(-1e300)).alias("d"), F.lit(-k).alias("k")) for k, d in enumerate(drop)])
     step = [F.get(F.array(*[F.lit(o[i]) for o in RING]), -best["k"]) for i in (0, 1)]
     falls = best["d"] > 0
@@ -28,25 +28,6 @@ def drainage(dem: DataFrame, cell: float) -> DataFrame:
 OUT = -1
 
 
-def _tiled(cells: DataFrame, tile: int) -> DataFrame:
-    """``cells`` by tile (_tr, _tc), those at a tile's rim also in the tiles beside it."""
-    places = lambda v: F.array_distinct(F.array(*[F.floor((F.col(v) + k) / tile) for k in (0, -1, 1)]))
-    return cells.withColumn("_tr", F.explode(places("r"))).withColumn("_tc", F.explode(places("c")))
-
-
-def _laid(pdf: pd.DataFrame, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Heights of a tile with a rim of one cell, NaN where there is no cell, and the place of each row."""
-    i, j = (pdf["r"] - pdf["_tr"] * tile + 1).to_numpy(), (pdf["c"] - pdf["_tc"] * tile + 1).to_numpy()
-    z = np.full((tile + 2, tile + 2), np.nan)
-    z[i, j] = pdf["z"]
-    return z, i, j
-
-
-def _around(a: np.ndarray, di: int, dj: int) -> np.ndarray:
-    """Of each cell within the rim, what the neighbour has."""
-    return a[1 + di : a.shape[0] - 1 + di, 1 + dj : a.shape[1] - 1 + dj]
-
-
 def fill_depressions(dem: DataFrame, tile: int = 512) -> DataFrame:
     """H1: no cell lower than its way out, by priority flood. Water leaves where one of a cell's eight neighbours is missing or has no height.
 
@@ -55,10 +36,10 @@ def fill_depressions(dem: DataFrame, tile: int = 512) -> DataFrame:
     """
 
     def flood(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, i, j = _laid(pdf, tile)
+        z, i, j = laid(pdf, tile)
         r0, c0 = int(pdf["_tr"].iloc[0]) * tile - 1, int(pdf["_tc"].iloc[0]) * tile - 1
         lone = np.zeros(z.shape, dtype=bool)
-        lone[1:-1, 1:-1] = np.any([np.isnan(_around(z, *o)) for o in RING], axis=0)
+        lone[1:-1, 1:-1] = np.any([np.isnan(around(z, *o)) for o in RING], axis=0)
         beside = np.zeros(z.shape, dtype=bool)
         beside[[1, -2], 1:-1] = beside[1:-1, [1, -2]] = True
         own = ~np.isnan(z)
@@ -89,19 +70,19 @@ def fill_depressions(dem: DataFrame, tile: int = 512) -> DataFrame:
         return pdf.loc[mine, ["r", "c"]].assign(z=out[i, j], label=label[i, j])
 
     def spills(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, i, j = _laid(pdf, tile)
+        z, i, j = laid(pdf, tile)
         label = np.zeros(z.shape, dtype=np.int64)
         label[i, j] = pdf["label"]
         parts = []
         for o in RING:
-            a, b, w = label[1:-1, 1:-1], _around(label, *o), np.maximum(z[1:-1, 1:-1], _around(z, *o))
+            a, b, w = label[1:-1, 1:-1], around(label, *o), np.maximum(z[1:-1, 1:-1], around(z, *o))
             way = (a != b) & ~np.isnan(w)
             parts.append(pd.DataFrame({"a": a[way], "b": b[way], "w": w[way]}))
         return pd.concat(parts).groupby(["a", "b"], as_index=False).min()
 
-    tiles = _tiled(dem.select("r", "c", F.col("z").cast("double").alias("z")), tile).groupBy("_tr", "_tc")
+    tiles = tiled(dem.select("r", "c", F.col("z").cast("double").alias("z")), tile).groupBy("_tr", "_tc")
     filled = cut(tiles.applyInPandas(lambda pdf: flood(pdf), "r long, c long, z double, label long"))
-    ways = _tiled(filled, tile).groupBy("_tr", "_tc").applyInPandas(lambda pdf: spills(pdf), "a long, b long, w double")
+    ways = tiled(filled, tile).groupBy("_tr", "_tc").applyInPandas(lambda pdf: spills(pdf), "a long, b long, w double")
     level = _spill_levels(ways.groupBy("a", "b").agg(F.min("w").alias("w")))
     return filled.join(level, "label", "left").select("r", "c", F.when(~F.isnan("z"), F.greatest("z", "level")).alias("z"))
 
@@ -151,14 +132,14 @@ def resolve_flats(dem: DataFrame, drains: DataFrame, tile: int = 512) -> DataFra
     cells = dem.select("r", "c", F.when(~F.isnan("z"), F.col("z")).cast("double").alias("z")).join(drains, ["r", "c"], "left")
 
     def start(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, i, j = _laid(pdf, tile)
+        z, i, j = laid(pdf, tile)
         rim = np.zeros(z.shape, dtype=bool)
-        rim[1:-1, 1:-1] = np.any([np.isnan(_around(z, *o)) for o in RING], axis=0)
+        rim[1:-1, 1:-1] = np.any([np.isnan(around(z, *o)) for o in RING], axis=0)
         mine = (i > 0) & (i <= tile) & (j > 0) & (j <= tile)
         return pdf.loc[mine, ["r", "c", "z", "nr", "nc"]].assign(known=(pdf.loc[mine, "nr"].notna() | (rim[i[mine], j[mine]] & pdf.loc[mine, "z"].notna())), new=False)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, i, j = _laid(pdf, tile)
+        z, i, j = laid(pdf, tile)
         known = np.zeros(z.shape, dtype=bool)
         known[i, j] = pdf["known"]
         to = np.full((*z.shape, 2), -1, dtype=np.int64)
@@ -171,7 +152,7 @@ def resolve_flats(dem: DataFrame, drains: DataFrame, tile: int = 512) -> DataFra
             for k in range(len(RING)):
                 di, dj = RING[k]
                 beside = np.zeros(z.shape, dtype=bool)
-                beside[1:-1, 1:-1] = _around(front, di, dj) & (_around(z, di, dj) == z[1:-1, 1:-1])
+                beside[1:-1, 1:-1] = around(front, di, dj) & (around(z, di, dj) == z[1:-1, 1:-1])
                 take = beside & inside & ~known & ~fresh
                 to[take] = (di, dj)
                 fresh |= take
@@ -187,10 +168,10 @@ def resolve_flats(dem: DataFrame, drains: DataFrame, tile: int = 512) -> DataFra
         return own[["r", "c", "z", "nr", "nc"]].assign(known=known[i, j], new=new)
 
     shape = "r long, c long, z double, nr double, nc double, known boolean, new boolean"
-    state = cut(_tiled(cells, tile).groupBy("_tr", "_tc").applyInPandas(lambda pdf: start(pdf), shape))
+    state = cut(tiled(cells, tile).groupBy("_tr", "_tc").applyInPandas(lambda pdf: start(pdf), shape))
     while True:
         before = state
-        state = cut(_tiled(state.drop("new"), tile).groupBy("_tr", "_tc").applyInPandas(lambda pdf: grow(pdf), shape))
+        state = cut(tiled(state.drop("new"), tile).groupBy("_tr", "_tc").applyInPandas(lambda pdf: grow(pdf), shape))
         drop(before)
         if not state.where("new").limit(1).count():
             return state.select("r", "c", F.col("nr").cast("long").alias("nr"), F.col("nc").cast("long").alias("nc"))

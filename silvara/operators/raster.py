@@ -5,29 +5,63 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from silvara.runtime import ship
+
 # Cost of crossing a stream by its order, and above the table.
 CROSSING_COST = {1: 20.0, 2: 60.0, 3: 200.0, 4: 800.0}
 CROSSING_ABOVE = 1500.0
 
 
-def neighbours(cells: DataFrame, value: str, offsets: Iterable[tuple[int, int]]) -> DataFrame:
-    """Each cell with ``n``: the map of its neighbours' values by place in ``offsets``. One shuffle: every cell is sent to the cells that it neighbours."""
+RING = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
+#: Cells on a side of a tile.
+TILE = 512
+
+
+def tiled(cells: DataFrame, tile: int = TILE) -> DataFrame:
+    """``cells`` by tile (_tr, _tc), those at a tile's rim also in the tiles beside it."""
+    places = lambda v: F.array_distinct(F.array(*[F.floor((F.col(v) + k) / tile) for k in (0, -1, 1)]))
+    return cells.withColumn("_tr", F.explode(places("r"))).withColumn("_tc", F.explode(places("c")))
+
+
+def laid(pdf: pd.DataFrame, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Heights of a tile with a rim of one cell, NaN where there is no cell, and the place of each row."""
+    i, j = (pdf["r"] - pdf["_tr"] * tile + 1).to_numpy(), (pdf["c"] - pdf["_tc"] * tile + 1).to_numpy()
+    z = np.full((tile + 2, tile + 2), np.nan)
+    z[i, j] = pdf["z"]
+    return z, i, j
+
+
+def around(a: np.ndarray, di: int, dj: int) -> np.ndarray:
+    """Of each cell within the rim, what the neighbour has."""
+    return a[1 + di : a.shape[0] - 1 + di, 1 + dj : a.shape[1] - 1 + dj]
+
+
+def neighbours(cells: DataFrame, value: str, offsets: Iterable[tuple[int, int]], tile: int = TILE) -> DataFrame:
+    """r, c, ``value`` of each cell with ``n``: an array of what its neighbours have, by place in ``offsets`` (of one cell at most), null where there is none. One shuffle by tiles, in which only the cells at rims go twice."""
     offsets = list(offsets)
-    sent = cells.select(F.explode(F.array(*[F.struct((F.col("r") - dr).alias("r"), (F.col("c") - dc).alias("c"), F.lit(k).alias("k")) for k, (dr, dc) in enumerate(offsets)])).alias("_o"), F.col(value).alias("_v"))
-    around = sent.groupBy(F.col("_o.r").alias("r"), F.col("_o.c").alias("c")).agg(F.map_from_entries(F.collect_list(F.struct("_o.k", "_v"))).alias("n"))
-    return cells.join(around, ["r", "c"], "left")
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        z, i, j = laid(pdf, tile)
+        mine = (i > 0) & (i <= tile) & (j > 0) & (j <= tile)
+        i, j = i[mine], j[mine]
+        near = {f"n{k}": z[i + di, j + dj] for k, (di, dj) in enumerate(offsets)}
+        return pd.DataFrame({"r": pdf.loc[mine, "r"].to_numpy(), "c": pdf.loc[mine, "c"].to_numpy(), "z": pdf.loc[mine, "z"].to_numpy()} | near)
 
-RING = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
+    src = cells.select("r", "c", F.col(value).cast("double").alias("z"))
+    got = ship(tiled(src, tile)).groupBy("_tr", "_tc").applyInPandas(lambda pdf: run(pdf), "r long, c long, z double, " + ", ".join(f"n{k} double" for k in range(len(offsets))))
+    clean = lambda c: F.when(~F.isnan(c), F.col(c))
+    return got.select("r", "c", clean("z").alias(value), F.array(*[clean(f"n{k}") for k in range(len(offsets))]).alias("n"))
 
 
 def horn_slope(dem: DataFrame, cell: float) -> DataFrame:
     """Slope in percent by the eight neighbours; a missing one counts as the cell itself. A cell without a height, null or NaN, has none."""
     dem = dem.withColumn("z", F.when(~F.isnan("z"), F.col("z")))
-    z = {o: F.coalesce(F.try_element_at("n", F.lit(k)), F.col("z")) for k, o in enumerate(RING)}
+    z = {o: F.coalesce(F.get("n", F.lit(k)), F.col("z")) for k, o in enumerate(RING)}
     p = (z[-1, 1] + 2 * z[0, 1] + z[1, 1]) - (z[-1, -1] + 2 * z[0, -1] + z[1, -1])
     q = (z[1, -1] + 2 * z[1, 0] + z[1, 1]) - (z[-1, -1] + 2 * z[-1, 0] + z[-1, 1])
     p, q = p / (8 * cell), q / (8 * cell)
@@ -37,7 +71,7 @@ def horn_slope(dem: DataFrame, cell: float) -> DataFrame:
 def wetness_index(dem: DataFrame, accumulation: DataFrame, cell: float) -> DataFrame:
     """R2: ln(max(|accumulation|, 1) * cell / max(slope, 0.001)) with slopes by central differences, one-sided at edges."""
     cross = [(0, -1), (0, 1), (-1, 0), (1, 0)]
-    n = [F.try_element_at("n", F.lit(k)) for k in range(4)]
+    n = [F.get("n", F.lit(k)) for k in range(4)]
 
     def gradient(a: Column, b: Column) -> Column:
         steps = F.when(a.isNotNull(), 1).otherwise(0) + F.when(b.isNotNull(), 1).otherwise(0)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silvara.runtime import cut
+from silvara.runtime import cut, drop
 
 
 def neighbourhood(order: int) -> list[tuple[int, int]]:
@@ -37,23 +37,20 @@ def least_costs(graph: DataFrame, sources: DataFrame) -> DataFrame:
     ``graph`` has r, c, r2, c2, w. Only cells that improved pass on in a round; rounds end when none does.
     Weights below zero are refused, as ways over them need not end.
     """
-    best = cut(sources.select("r", "c", F.lit(0.0).alias("costo"), F.lit(None).cast("long").alias("pr"), F.lit(None).cast("long").alias("pc")))
-    front = best
+    state = cut(sources.select("r", "c", F.lit(0.0).alias("costo"), F.lit(None).cast("long").alias("pr"), F.lit(None).cast("long").alias("pc"), F.lit(True).alias("new")))
     links = cut(graph.select("r", "c", "r2", "c2", "w"))
     if links.where("w < 0").limit(1).count():
         raise ValueError("a weight is below zero")
-    while True:
+    pick = lambda c: F.when(F.col("new"), F.col(f"n.{c}")).otherwise(F.col(c)).alias(c)
+    while state.where("new").limit(1).count():
+        front = state.where("new").drop("new")
         reached = front.join(links, ["r", "c"]).groupBy(F.col("r2").alias("r"), F.col("c2").alias("c")).agg(F.min(F.struct((F.col("costo") + F.col("w")).alias("costo"), F.col("r").alias("pr"), F.col("c").alias("pc"))).alias("n"))
-        j = cut(best.withColumn("old", F.lit(True)).join(reached, ["r", "c"], "full_outer"))
-        better = F.coalesce(F.col("n.costo") < F.col("costo"), F.col("costo").isNull())
-        pick = lambda c: F.when(better, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c)
-        state = j.select("r", "c", pick("costo"), pick("pr"), pick("pc"), better.alias("new"))
-        best = cut(state)
-        front = best.where("new").drop("new")
-        best = best.drop("new")
-        if not front.limit(1).count():
-            break
-    return best
+        j = state.drop("new").join(reached, ["r", "c"], "full_outer").withColumn("new", F.coalesce(F.col("n.costo") < F.col("costo"), F.col("costo").isNull()))
+        before = state
+        state = cut(j.select("r", "c", pick("costo"), pick("pr"), pick("pc"), "new"))
+        drop(before)
+    drop(links)
+    return state.drop("new")
 
 
 def _cut_corners(line: Column) -> Column:

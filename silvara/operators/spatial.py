@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silvara.operators.proximity import located, points_in_regions
-from silvara.runtime import cut, drop, ship
+from silvara.runtime import cut, drop, ship, small
 
 
 def _cell(v: Column, side: float) -> Column:
@@ -98,18 +98,19 @@ def segment_distance2(px: Column, py: Column, x1: Column, y1: Column, x2: Column
     return squared(px, py, x1 + t * dx, y1 + t * dy)
 
 
-def strip_class(points: DataFrame, segments: DataFrame, key: list[str], width: str, widest: float, side: float = 200.0) -> DataFrame:
+def strip_class(points: DataFrame, segments: DataFrame, key: list[str], width: str, side: float = 200.0) -> DataFrame:
     """Widest strip along a segment that each point lies in: ``key``, width. Widest-first difference of buffers gives the same classes.
 
-    A long segment is laid into the cells of its line only, not of its whole box.
+    A long segment is laid into the cells of its line only, as far as its own strip reaches; the cells are broadcast while they are small, so the points
+    are shuffled once, by their key and after a partial maximum.
     """
-    cells = segment_cells(segments, side, widest)
-    j = _own(points, "x", "y", side).join(cells, ["_gx", "_gy"])
+    cells = cut(segment_cells(segments.select("x1", "y1", "x2", "y2", width), side, F.col(width)))
+    j = _own(points.select(*key, "x", "y"), "x", "y", side).join(small(cells), ["_gx", "_gy"])
     near = segment_distance2(F.col("x"), F.col("y"), *[F.col(c) for c in ("x1", "y1", "x2", "y2")]) <= F.col(width) * F.col(width)
     return j.where(near).groupBy(*key).agg(F.max(width).alias(width))
 
 
-def segment_cells(segments: DataFrame, side: float, margin: float = 0.0) -> DataFrame:
+def segment_cells(segments: DataFrame, side: float, margin: float | Column = 0.0) -> DataFrame:
     """``segments`` once for each cell within ``margin`` of their line: column by column of cells, the rows that the line spans there."""
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     s = segments.withColumn("_gx", F.explode(F.sequence(_cell(F.least(x1, x2) - margin, side), _cell(F.greatest(x1, x2) + margin, side))))

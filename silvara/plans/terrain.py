@@ -29,7 +29,7 @@ def _segments(s: SparkSession, d: str) -> DataFrame:
 
 
 def riparian_class(s: SparkSession, d: str) -> DataFrame:
-    return spatial.strip_class(view(s, d, "puntos"), _segments(s, d), KEY, "ancho", 200.0)
+    return spatial.strip_class(view(s, d, "puntos"), _segments(s, d), KEY, "ancho")
 
 
 def _crossings(s: SparkSession, d: str, proper: bool = True) -> DataFrame:
