@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import json
 import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
@@ -21,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvara.runtime import hashed_sample, ship
+from silvara.runtime import ensure_checkpoint_dir, hashed_sample, ship
 
 #: The lexicon is built from the words of about LEXICON_DOCS documents, chosen by hashed id; it only sets the speed, as other words are merged exactly.
 LEXICON_DOCS = 2_000
@@ -348,9 +349,16 @@ def fit_lexicon(df: DataFrame, text: str, key: str, ranks: dict[bytes, int], doc
         first[:1] = True
         starts = split_words(cp, cls, first)
         counts.update(t[a:b] for a, b in zip(starts.tolist(), np.append(starts[1:], len(cp)).tolist()))
-    path = compile_lexicon(counts, ranks, words, tempfile.mkdtemp(prefix="silvara-lexicon-"))
-    df.sparkSession.sparkContext.addFile(path)
-    return Path(path).name
+    spark = df.sparkSession
+    with tempfile.TemporaryDirectory(prefix="silvara-lexicon-") as folder:  # on the driver, until the file is in the shared folder
+        built = Path(compile_lexicon(counts, ranks, words, folder))
+        name = f"silvara-{uuid.uuid4().hex}-{built.name}"
+        jvm = spark._jvm.org.apache.hadoop.fs
+        shared = jvm.Path(f"{ensure_checkpoint_dir(spark)}/{name}")
+        files = shared.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.copyFromLocalFile(True, jvm.Path(f"file://{built}"), shared)
+    spark.sparkContext.addFile(files.makeQualified(shared).toString())
+    return name
 
 
 def encode_corpus(df: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
