@@ -14,6 +14,10 @@ from silvara.operators.proximity import located, points_in_regions
 from silvara.runtime import cut, drop, ship, small
 
 
+#: Rows of segments in cells, of some 90 bytes each, up to which they go to all executors.
+BOX_ROWS = 600_000
+
+
 def _cell(v: Column, side: float) -> Column:
     return F.floor(v / side).cast("long")
 
@@ -225,19 +229,107 @@ def _on(cx: Column, cy: Column, ax: Column, ay: Column, bx: Column, by: Column)
     return cx.between(F.least(ax, bx), F.greatest(ax, bx)) & cy.between(F.least(ay, by), F.greatest(ay, by))
 
 
-def crossing_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, side: float = 500.0, proper: bool = False) -> DataFrame:
-    """Pairs of segments that meet, be it in an end or along a stretch; ``proper``: only those that cross in a point inside both. Each segment has a key and x1, y1, x2, y2."""
+def _box_cells(segments: DataFrame, levels: list[int], side: float, margin: float = 1e-6) -> DataFrame:
+    """``segments`` (with _l, their level) once for each cell of their box, at their own level (_k = _l) and at each coarser one: _h, _k, _gx, _gy, and _cx, _cy, the first cell of the box."""
+    s = segments.withColumn("_k", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda k: k >= F.col("_l"))))
+    edge = lambda f, u, v, by: F.floor((f(F.col(u), F.col(v)) + by) / (side * F.pow(F.lit(2.0), F.col("_k")))).cast("long")
+    s = s.withColumns({"_cx": edge(F.least, "x1", "x2", -margin), "_cy": edge(F.least, "y1", "y2", -margin)})
+    s = s.withColumn("_gx", F.explode(F.sequence("_cx", edge(F.greatest, "x1", "x2", margin)))).withColumn("_gy", F.explode(F.sequence("_cy", edge(F.greatest, "y1", "y2", margin))))
+    return s.withColumn("_h", F.xxhash64("_k", "_gx", "_gy"))
+
+
+def crossing_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, side: float = 500.0, proper: bool = False, once: bool = False, places: bool = True) -> DataFrame:
+    """Pairs of segments that meet, be it in an end or along a stretch; ``proper``: only those that cross in a point inside both. Each segment has a key and x1, y1, x2, y2.
+
+    ``once``: only pairs with the smaller key in ``a``, for a table met with itself; ``places``: with the ends of both. A segment's level is that of the cells, doubling from ``side``, that its box fits in, so it lies in four of
+    them at most. Two segments are compared in the cells of the longer one and, of those in common, in the first only: no pair comes twice and none has to be kept to know that.
+    """
     names = ("x1", "y1", "x2", "y2")
-    margin = 0.0 if proper else 1e-6  # a point that two segments share may lie on the border of cells
-    left = segment_cells(a.select(key_a, *names), side, margin).select("_gx", "_gy", key_a, *[F.col(c).alias(f"a{c}") for c in names])
-    right = segment_cells(b.select(key_b, *names), side, margin).select("_gx", "_gy", key_b, *[F.col(c).alias(f"b{c}") for c in names])
+    extent = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    level = F.when(extent > side, F.ceil(F.log2(extent / side))).otherwise(0).cast("int")
+    whole = [df.where(_placed("x1", "y1") & _placed("x2", "y2")).select(key, *names, level.alias("_l")) for df, key in ((a, key_a), (b, key_b))]
+    levels = sorted(r[0] for r in whole[0].select("_l").union(whole[1].select("_l")).distinct().collect())
+    if not levels:
+        levels = [0]
+    cells = [_box_cells(df, levels, side).select("_h", key, *[F.col(c).cast("double").alias(f"{n}{c}") for c in names], *[F.col(c).alias(f"{n}{c}") for c in ("_l", "_k", "_gx", "_gy", "_cx", "_cy")]) for df, key, n in ((whole[0], key_a, "a"), (whole[1], key_b, "b"))]
     p = [F.col(c) for c in ("ax1", "ay1", "ax2", "ay2", "bx1", "by1", "bx2", "by2")]
     turns = [_turn(*p[:4], *p[4:6]), _turn(*p[:4], *p[6:]), _turn(*p[4:], *p[:2]), _turn(*p[4:], *p[2:4])]
     cross = (turns[0] * turns[1] < 0) & (turns[2] * turns[3] < 0)
     if not proper:
         for turn, end, line in zip(turns, (p[4:6], p[6:], p[:2], p[2:4]), (p[:4], p[:4], p[4:], p[4:])):
             cross = cross | ((turn == 0) & _on(*end, *line))
-    return left.join(right, ["_gx", "_gy"]).where(cross).select(key_a, key_b, *[f"a{c}" for c in names], *[f"b{c}" for c in names]).dropDuplicates([key_a, key_b])
+    here = (F.col("a_k") == F.col("b_k")) & (F.col("a_gx") == F.col("b_gx")) & (F.col("a_gy") == F.col("b_gy"))
+    here = here & (F.col("a_gx") == F.greatest("a_cx", "b_cx")) & (F.col("a_gy") == F.greatest("a_cy", "b_cy"))
+    if once:
+        here = (F.col(key_a) < F.col(key_b)) & here
+    kept = [key_a, key_b, *[f"{n}{c}" for n in "ab" for c in names if places]]
+    tasks = 8 * a.sparkSession.sparkContext.defaultParallelism
+    numbers = all(df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long") for df, key in ((a, key_a), (b, key_b)))
+    out = []
+    for left, right in ((cells[0].where("a_l = a_k"), cells[1]), (cells[0].where("a_l < a_k"), cells[1].where("b_l = b_k"))):
+        known = right.limit(BOX_ROWS + 1).toPandas() if numbers else None
+        if known is not None and len(known) <= BOX_ROWS:
+            out.append(_met_in_boxes(left.repartition(tasks), known, key_a, key_b, kept, proper, once, b.schema[key_b].dataType.simpleString()))
+        else:
+            out.append(left.join(small(right), "_h").where(here & cross).select(*kept))
+    return out[0].unionByName(out[1])
+
+
+def _met_in_boxes(left: DataFrame, right: pd.DataFrame, key_a: str, key_b: str, kept: list[str], proper: bool, once: bool, kind_b: str) -> DataFrame:
+    """``kept`` of the pairs of ``crossing_pairs`` with the segments of ``right``, which go to all executors; the same conditions, a segment against all of its cell at a time."""
+    right = right[~right[key_b].isna()].sort_values(["_h", key_b])
+    sent = left.sparkSession.sparkContext.broadcast({c: right[c].to_numpy() for c in right.columns})
+    names = [f"{n}{c}" for n in "ab" for c in ("x1", "y1", "x2", "y2")]
+
+    def turn(ax, ay, bx, by, cx, cy):  # noqa: ANN001, ANN202
+        return np.sign((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+
+    def on(cx, cy, ax, ay, bx, by):  # noqa: ANN001, ANN202
+        return (cx >= np.minimum(ax, bx)) & (cx <= np.maximum(ax, bx)) & (cy >= np.minimum(ay, by)) & (cy <= np.maximum(ay, by))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = sent.value
+        bx1, by1, bx2, by2 = (r[c].astype(float) for c in names[4:])
+        parts, held = [], 0
+        for batch in batches:
+            batch = batch[~batch[key_a].isna()]
+            columns = {c: batch[c].to_numpy() for c in batch.columns}
+            first, last = np.searchsorted(r["_h"], columns["_h"], "left"), np.searchsorted(r["_h"], columns["_h"], "right")
+            for i, (s, e) in enumerate(zip(first, last)):
+                if once:
+                    s += np.searchsorted(r[key_b][s:e], columns[key_a][i], "right")
+                ax1, ay1, ax2, ay2 = (float(columns[c][i]) for c in names[:4])
+                dx, dy = ax2 - ax1, ay2 - ay1
+                side1 = dx * (by1[s:e] - ay1) - dy * (bx1[s:e] - ax1)
+                side1 *= dx * (by2[s:e] - ay1) - dy * (bx2[s:e] - ax1)
+                j = s + np.flatnonzero(side1 <= 0)  # those with an end on either side or on the line
+                if not len(j):
+                    continue
+                cell = (r["b_k"][j] == columns["a_k"][i]) & (r["b_gx"][j] == columns["a_gx"][i]) & (r["b_gy"][j] == columns["a_gy"][i])
+                j = j[cell & (np.maximum(columns["a_cx"][i], r["b_cx"][j]) == columns["a_gx"][i]) & (np.maximum(columns["a_cy"][i], r["b_cy"][j]) == columns["a_gy"][i])]
+                p, q = (ax1, ay1, ax2, ay2), (bx1[j], by1[j], bx2[j], by2[j])
+                turns = [turn(*p, *q[:2]), turn(*p, *q[2:]), turn(*q, *p[:2]), turn(*q, *p[2:])]
+                cross = (turns[0] * turns[1] < 0) & (turns[2] * turns[3] < 0)
+                if not proper:
+                    for t, end, line in zip(turns, (q[:2], q[2:], p[:2], p[2:]), (p, p, q, q)):
+                        cross |= (t == 0) & on(*end, *line)
+                j = j[cross]
+                if len(j):
+                    parts.append((np.full(len(j), i), j))
+                    held += len(j)
+                if held >= 100_000:
+                    yield taken(columns, r, parts)
+                    parts, held = [], 0
+            if parts:
+                yield taken(columns, r, parts)
+                parts, held = [], 0
+
+    def taken(columns: dict, r: dict, parts: list) -> pd.DataFrame:
+        i, j = (np.concatenate(x) for x in zip(*parts))
+        return pd.DataFrame({c: columns[c][i] if c in columns else r[c][j] for c in kept})
+
+    kinds = {key_a: left.schema[key_a].dataType.simpleString(), key_b: kind_b}
+    return ship(left).mapInPandas(find, ", ".join(f"`{c}` {kinds.get(c, 'double')}" for c in kept))
 
 
 def crossing_points(pairs: DataFrame, key_a: str, key_b: str) -> DataFrame:

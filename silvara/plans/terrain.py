@@ -32,9 +32,9 @@ def riparian_class(s: SparkSession, d: str) -> DataFrame:
     return spatial.strip_class(view(s, d, "puntos"), _segments(s, d), KEY, "ancho")
 
 
-def _crossings(s: SparkSession, d: str, proper: bool = True) -> DataFrame:
+def _crossings(s: SparkSession, d: str, proper: bool = True, places: bool = True) -> DataFrame:
     t = view(s, d, "tramos").select("sid", "x1", "y1", "x2", "y2")
-    return spatial.crossing_pairs(t, t.withColumnRenamed("sid", "sid2"), "sid", "sid2", proper=proper).where("sid < sid2")
+    return spatial.crossing_pairs(t, t.withColumnRenamed("sid", "sid2"), "sid", "sid2", proper=proper, once=True, places=places)
 
 
 def ring_snap(s: SparkSession, d: str) -> DataFrame:
@@ -131,9 +131,9 @@ QUERIES = {
     "nearest_center": lambda s, d: spatial.nearest(view(s, d, "puntos"), view(s, d, "tramos").select("sid", F.col("x1").alias("px"), F.col("y1").alias("py")), KEY[0], "sid").groupBy("sid").agg(F.count("*").alias("n")),
     "riparian_class": riparian_class,
     "riparian_volume": lambda s, d: riparian_class(s, d).join(view(s, d, "puntos"), KEY).groupBy("ancho").agg(F.count("*").alias("n"), F.sum(F.expr(VOLUME)).alias("volumen")),
-    "crossing_pairs": lambda s, d: _crossings(s, d).select("sid", "sid2"),
+    "crossing_pairs": lambda s, d: _crossings(s, d, places=False).select("sid", "sid2"),
     "crossing_points": lambda s, d: spatial.crossing_points(_crossings(s, d), "sid", "sid2"),
-    "meeting_pairs": lambda s, d: _crossings(s, d, False).select("sid", "sid2"),
+    "meeting_pairs": lambda s, d: _crossings(s, d, False, False).select("sid", "sid2"),
     "meeting_points": lambda s, d: spatial.crossing_points(_crossings(s, d, False), "sid", "sid2"),
     "weighted_centroid": lambda s, d: spatial.weighted_centers(view(s, d, "puntos"), "especie", F.floor(F.col("x") * 100 + 0.5), F.floor(F.col("y") * 100 + 0.5), F.col("dap_cm")),
     "segment_azimuth": lambda s, d: view(s, d, "tramos").select("sid", F.bround(spatial.azimuth(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), 6).alias("azimut"), floor_lookup(F.col("sid") % 6, WIDTHS, ABOVE).alias("ancho")),
