@@ -1,7 +1,8 @@
 """Problem 7: freely typed names mapped to a reference list, misses reported.
 
 The reference's symmetric-delete dictionary (every name with up to DEPTH letters left out) goes to all executors: it grows with the
-reference list and not with the data, and a list beyond BLOCK_NAMES is searched block by block. Each different text is resolved once: brought to one form (look-alike letters,
+reference list and not with the data, and a list beyond BLOCK_NAMES is searched block by block, with the same results: blocks share the model, the words
+and the annotations of the whole list, and what they find is judged together as one dictionary would. Each different text is resolved once: brought to one form (look-alike letters,
 spacing, annotations), then looked up by its own deletions; candidates are ranked by a weighted Damerau-Levenshtein cost,
 ties by how often the reference name occurs in the data. Words that annotate names are learned from what is left beside exact names.
 """
@@ -13,13 +14,14 @@ import unicodedata
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import combinations, permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silvara.llm.lookalike import Canonical
+from silvara.llm.lookalike import Canonical, NameModel, name_model, plain_form, visible
 from silvara.runtime import cut, ship, small
 
 #: Names of a dictionary; a longer reference list is split into blocks of about as many.
@@ -96,19 +98,20 @@ def deletions(s: str, depth: int) -> set[str]:
 
 
 class Gazetteer:
-    """Finds the entry of a reference list that a typed text stands for. ``notes`` are words that annotate names."""
+    """Finds the entry of a reference list that a typed text stands for. ``notes`` are words that annotate names; a block of a longer list has its ``model`` and ``words``."""
 
-    def __init__(self, names: dict[str, int], frequency: dict[int, int], notes: frozenset[str] = NOTE_WORDS):
-        self.canonical = Canonical(names)
+    def __init__(self, names: dict[str, int], frequency: dict[int, int], notes: frozenset[str] = NOTE_WORDS, model: NameModel | None = None, words: frozenset[str] | None = None):
+        names = dict(sorted(names.items(), key=lambda x: (-x[1], x[0])))  # of names of one form the smallest id stays
+        self.canonical = Canonical(names, model)
         self.frequency, self.notes = frequency, notes
         self.words = {i: fold(n).split() for n, i in names.items()}
         self.form = {i: squeeze(fold(n)) for n, i in names.items()}
-        self.known_words = {w for ws in self.words.values() for w in ws}
-        self.exact: dict[str, int] = {}
-        self.bag: dict[tuple[str, ...], int] = {}
+        self.known_words = {w for ws in self.words.values() for w in ws} if words is None else words
+        self.exact: dict[str, list[int]] = defaultdict(list)
+        self.bag: dict[tuple[str, ...], list[int]] = defaultdict(list)
         for i, f in sorted(self.form.items()):
-            self.exact.setdefault(f, i)
-            self.bag.setdefault(tuple(sorted(self.words[i])), i)
+            self.exact[f].append(i)
+            self.bag[tuple(sorted(self.words[i]))].append(i)
         self.sorted_forms = sorted((f, i) for i, f in self.form.items())
         self.first_words = sorted((ws[0], i) for i, ws in self.words.items() if len(ws) > 1)
         self.index: dict[int, dict[str, list[int]]] = {}
@@ -118,27 +121,33 @@ class Gazetteer:
                 for x in deletions(f, depth):
                     index[x].append(i)
             self.index[depth] = dict(index)
-        self.word_index: dict[str, set[str]] = defaultdict(set)
+        self.longest = max((len(f) for f in self.form.values()), default=0)
+
+    @cached_property
+    def word_index(self) -> dict[str, set[str]]:
+        index: dict[str, set[str]] = defaultdict(set)
         for w in self.known_words:
             for x in deletions(w, 1):
-                self.word_index[x].add(w)
-        self.longest = max((len(f) for f in self.form.values()), default=0)
+                index[x].add(w)
+        return index
 
     def __call__(self, text: str | None) -> tuple[int, float]:
         """Id of the entry and the cost at which it was found; -1 and null cost if none. Null, empty and wordless texts have none."""
         if text is None:
             return -1, float("nan")
-        for found in self.stages(text):
-            if len(found) == 1 or (found and found[0][0] < SURE):
+        for stage in self.stages(text):
+            found = [x for _, near in stage for x in near]
+            if found and (min(found)[0] < SURE or (len(found) == 1 and found[0][0] < 2 * SURE)):
                 total, _, best = min(found)
                 return best, round(total % SURE, 3)
         return -1, float("nan")
 
-    def stages(self, text: str) -> Iterator[list[tuple[float, int, int]]]:
-        """Candidates (cost, less frequency, id) stage by stage, the first stage that holds one deciding. Candidates of a shortened name have SURE added
-        and decide only if there is one."""
+    def stages(self, text: str) -> Iterator[list[tuple[int, list[tuple[float, int, int]]]]]:
+        """Candidates (cost, less frequency, id) stage by stage, the first stage that holds one deciding. A stage has searches, each with its depth: of a search in
+        several blocks only the least depth that found something counts. Candidates of a shortened name have SURE added and decide only if there is one;
+        with SURE added twice not even then."""
         form, found = self.canonical(text)
-        yield [(0.0, 0, found)] if found >= 0 else []
+        yield [(self.canonical.reader(text).index(form), [(0.0, 0, found)] if found >= 0 else [])]
         typed = fold(form)
         kept = re.sub(NOTES, " ", typed)
         kept = kept if squeeze(kept) else typed
@@ -146,20 +155,13 @@ class Gazetteer:
         plain = self._without_notes(words, self.known_words)
         bare = self._without_notes(words, set())
         readable = [ws for ws in (words, plain, bare) if re.search("[a-z]", " ".join(ws))]
-        exact = []
         for orders in self._tried(readable):
-            for n, order in enumerate(orders):
-                exact += [(0.3 * (n > 0), -self.frequency.get(i, 0), i) for i in [self.exact.get("".join(order))] if i is not None]
-            exact += [(0.3, -self.frequency.get(i, 0), i) for i in [self.bag.get(tuple(sorted(orders[0])))] if i is not None]
-            if exact:
-                break
-        yield exact
+            exact = [(0.3 * (n > 0), -self.frequency.get(i, 0), i) for n, order in enumerate(orders) for i in self.exact.get("".join(order), ())]
+            yield [(0, exact + [(0.3, -self.frequency.get(i, 0), i) for i in self.bag.get(tuple(sorted(orders[0])), ())])]
         dotted = [w.endswith(".") for w in plain]
-        yield self.shortened([w.replace(".", "") for w in plain], dotted)
+        yield [(0, self.shortened([w.replace(".", "") for w in plain], dotted))]
         for orders in self._tried(readable[1:]):
-            near = [x for n, order in enumerate(orders) for x in self.close("".join(order), 0.3 * (n > 0))]
-            near += self.word_by_word(orders[0])
-            yield near
+            yield [*[self._near("".join(order), 0.3 * (n > 0)) for n, order in enumerate(orders)], (0, self.word_by_word(orders[0]))]
 
     def _tried(self, readings: list[list[str]]) -> Iterator[list[tuple[str, ...]]]:
         """Orders of the words of each reading, without points; equal readings once."""
@@ -187,8 +189,12 @@ class Gazetteer:
 
     def close(self, s: str, extra: float) -> list[tuple[float, int, int]]:
         """Entries within the allowed cost of a squeezed text."""
+        return self._near(s, extra)[1]
+
+    def _near(self, s: str, extra: float) -> tuple[int, list[tuple[float, int, int]]]:
+        """The letters left out at most when something was found, and what ``close`` gives."""
         if len(s) > self.longest + 2 * ALLOWED[0][1]:  # no entry lies so near, as a letter costs a half at least
-            return []
+            return DEEP, []
         most = allowed(len(s))
         # A short text may be what is left of a longer name, so the longer of both tells what is allowed.
         for depth in (DEPTH, DEEP) if most > 2 else (DEPTH,):
@@ -196,8 +202,8 @@ class Gazetteer:
             bound = {i: allowed(max(len(s), len(self.form[i]))) for i in near}
             found = [(c + extra, -self.frequency.get(i, 0), i) for c, i in ((cost(s, self.form[i], bound[i]), i) for i in near) if c + extra <= bound[i]]
             if found:
-                return found
-        return []
+                return depth, found
+        return DEEP, []
 
     def word_by_word(self, words: tuple[str, ...]) -> list[tuple[float, int, int]]:
         """The entry of four words or more whose words are the typed ones, each set right alone, in any order."""
@@ -209,8 +215,7 @@ class Gazetteer:
             c, best = min(((cost(w, x, 1.2), x) for x in near), default=(9.0, w))
             total += min(c, 9.0)
             right.append(best)
-        i = self.bag.get(tuple(sorted(right)))
-        return [] if i is None or total > ALLOWED[0][1] else [(total + 0.3, -self.frequency.get(i, 0), i)]
+        return [] if total > ALLOWED[0][1] else [(total + 0.3, -self.frequency.get(i, 0), i) for i in self.bag.get(tuple(sorted(right)), ())]
 
     def shortened(self, words: list[str], dotted: list[bool]) -> list[tuple[float, int, int]]:
         """Entries of which the text is a cut-off beginning, word by word or as a whole."""
@@ -228,16 +233,13 @@ class Gazetteer:
                 if len(words) == len(self.words[i]) and all(o.startswith(w) for w, o in zip(words, self.words[i])):
                     fits.add(i)
                 k += 1
-        return [(SURE + 0.5, -self.frequency.get(i, 0), i) for i in sorted(fits) if len(fits) > 1 or any(dotted) or 2 * len(s) >= len(self.form[i])]
+        return [(SURE + 0.5 if any(dotted) or 2 * len(s) >= len(self.form[i]) else 2 * SURE, -self.frequency.get(i, 0), i) for i in sorted(fits)]
 
     def left_over(self, text: str) -> list[tuple[str, int]]:
         """Words of three letters or more beside an exact name at the beginning or end of a text, that no name holds, with the name's id; shorter ones may be the beginning of a second word."""
-        words = re.findall(r"[a-z0-9]+", fold(self.canonical.reader(text)[0]))
-        for n in range(len(words) - 1, 0, -1):
-            for part, rest in ((words[:n], words[n:]), (words[-n:], words[:-n])):
-                i = self.exact.get("".join(part))
-                if i is not None:
-                    return [(w, i) for w in rest if len(w) > 2 and w not in self.known_words and not w.isdigit()]
+        for part, rest in splits(text):
+            if part in self.exact:
+                return [(w, self.exact[part][0]) for w in rest if w not in self.known_words]
         return []
 
 
@@ -250,33 +252,70 @@ def allowed(letters: int) -> float:
     return next((c for least, c in ALLOWED if letters >= least), 0.0)
 
 
-def learned_notes(texts: DataFrame, names: dict[str, int]) -> frozenset[str]:
-    """Words that annotate names: left over beside at least NOTE_ENTRIES different entries. ``texts`` has a column t."""
+def splits(text: str, most: int | None = None) -> Iterator[tuple[str, list[str]]]:
+    """Ways to take a text for a name (squeezed, of at most ``most`` letters) at its beginning or end, longer ones first, each with the other words of three letters or more."""
+    words = re.findall(r"[a-z0-9]+", fold(plain_form(visible(text))))
+    for n in range(len(words) - 1, 0, -1):
+        if most is None or sum(map(len, words[:n])) <= most or sum(map(len, words[-n:])) <= most:
+            for part, rest in ((words[:n], words[n:]), (words[-n:], words[:-n])):
+                if most is None or sum(map(len, part)) <= most:
+                    yield "".join(part), [w for w in rest if len(w) > 2 and not w.isdigit()]
+
+
+def _words(listed: DataFrame) -> frozenset[str]:
+    """The different words of all names (column n); only these come to the driver."""
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"w": sorted({w for n in b["n"] for w in fold(n).split()})}, columns=["w"])
+
+    return frozenset(r.w for r in ship(listed.select("n")).mapInPandas(parts, "w string").distinct().collect())
+
+
+def learned_notes(texts: DataFrame, names: dict[str, int] | DataFrame) -> frozenset[str]:
+    """Words that annotate names: left over beside at least NOTE_ENTRIES different entries. ``texts`` has a column t, a table of names n and id; texts meet names in a join, for lists of any length."""
+    listed = texts.sparkSession.createDataFrame(list(names.items()), "n string, id int") if isinstance(names, dict) else names
+    known = _words(listed)
+
+    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"form": [squeeze(fold(n)) for n in b["n"]], "i": b["id"]})
+
+    named = ship(listed.select("n", "id")).mapInPandas(forms, "form string, i int").groupBy("form").agg(F.min("i").alias("i"))
+    longest = named.agg(F.max(F.length("form"))).first()[0] or 0
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gazetteer = Gazetteer(names, {})
         for b in batches:
-            yield pd.DataFrame(sorted({x for t in b["t"] for x in gazetteer.left_over(t)}), columns=["w", "i"]).astype({"i": "int64"})
+            rows = [(t, k, part, [w for w in words if w not in known]) for t in b["t"] for k, (part, words) in enumerate(splits(t, longest))]
+            yield pd.DataFrame(rows, columns=["t", "k", "form", "w"])
 
-    seen = ship(texts).mapInPandas(rest, "w string, i long").groupBy("w").agg(F.countDistinct("i").alias("n")).where(F.col("n") >= NOTE_ENTRIES)
-    return NOTE_WORDS | {r.w for r in seen.limit(BLOCK_NAMES).collect()}
+    beside = ship(texts.select("t")).mapInPandas(rest, "t string, k int, form string, w array<string>").join(small(named), "form")
+    first = beside.groupBy("t").agg(F.min(F.struct("k", "i", "w")).alias("x")).select("x.i", F.explode("x.w").alias("w"))
+    seen = first.groupBy("w").agg(F.countDistinct("i").alias("n")).where(F.col("n") >= NOTE_ENTRIES)
+    return NOTE_WORDS | {r.w for r in seen.collect()}
 
 
 def _in_blocks(texts: DataFrame, listed: DataFrame, blocks: int, notes: frozenset[str]) -> DataFrame:
-    """t, id, costo for a list of several dictionaries: each group of texts meets each block of names, whose candidates are then judged together."""
+    """t, id, costo for a list of several dictionaries: each group of texts meets each block of names, whose candidates are then judged together.
+
+    Names of one id share a block. Of each search the least depth that found something in any block counts, as in one dictionary.
+    """
+    model, words = name_model(listed), _words(listed)
     n = texts.count()
     groups = max(1, n // TASK_TEXTS)
     many = texts.select("t", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.xxhash64("t"), F.lit(groups)).alias("g"))
-    parts = listed.select("id", "n", "c", F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")).alias("g"))
+    parts = listed.select("id", "n", "c", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")).alias("g"))
 
     def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        gazetteer = Gazetteer(dict(zip(right["n"], right["id"])), dict(zip(right["id"], right["c"])), notes)
-        rows = [(t, k, c, f, i) for t in left["t"] for k, stage in enumerate(gazetteer.stages(t)) for c, f, i in sorted(stage)[:2]]
-        return pd.DataFrame(rows, columns=["t", "k", "c", "f", "i"])
-
-    found = ship(many).groupBy("b", "g").cogroup(parts.groupBy("b", "g")).applyInPandas(lambda x, y: find(x, y), "t string, k int, c double, f long, i int")
-    stage = found.groupBy("t", "k").agg(F.count("*").alias("m"), F.min(F.struct("c", "f", "i")).alias("x")).where((F.col("m") == 1) | (F.col("x.c") < SURE))
-    best = stage.groupBy("t").agg(F.min(F.struct("k", "x")).alias("s"))
+        right = right.sort_values("n")
+        gazetteer = Gazetteer(dict(zip(right["n"], right["id"])), dict(zip(right["id"], right["c"])), notes, model, words)
+        rows = [(t, k, o, d, *x) for t in left["t"] for k, stage in enumerate(gazetteer.stages(t)) for o, (d, near) in enumerate(stage) for x in sorted(near)[:2]]
+        return pd.DataFrame(rows, columns=["t", "k", "o", "d", "c", "f", "i"])
+
+    found = ship(many).groupBy("b", "g").cogroup(parts.groupBy("b", "g")).applyInPandas(lambda x, y: find(x, y), "t string, k int, o int, d int, c double, f long, i int")
+    search = found.groupBy("t", "k", "o").agg(F.count("*").alias("m"), F.min(F.struct("d", "c", "f", "i")).alias("x"))
+    search = search.where((F.col("x.c") < SURE) | ((F.col("m") == 1) & (F.col("x.c") < 2 * SURE)))
+    best = search.groupBy("t").agg(F.min(F.struct("k", F.struct("x.c", "x.f", "x.i").alias("x"))).alias("s"))
     return texts.join(best, "t", "left").select("t", F.coalesce("s.x.i", F.lit(-1)).alias("id"), F.round(F.pmod("s.x.c", F.lit(SURE)), 3).alias("costo"))
 
 
@@ -296,10 +335,10 @@ def map_names(df: DataFrame, column: str, reference: DataFrame, seen: DataFrame
     spark = df.sparkSession
     texts = cut(df.select(F.col(column).alias("t")).where(F.col(column).isNotNull()).distinct())
     texts = texts.repartition(texts.count() // TASK_TEXTS + spark.sparkContext.defaultParallelism)
+    notes = learned_notes(texts, listed)
     if total <= BLOCK_NAMES:
-        rows = listed.collect()
+        rows = sorted(listed.collect())
         names, frequency = {r.n: r.id for r in rows}, {r.id: r.c for r in rows}
-        notes = learned_notes(texts, names)
 
         @F.pandas_udf("struct<id:int,costo:double>")
         def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -309,7 +348,7 @@ def map_names(df: DataFrame, column: str, reference: DataFrame, seen: DataFrame
 
         found = ship(texts).withColumn("_g", look_up(F.col("t"))).select("t", "_g.id", F.when(~F.isnan("_g.costo"), F.col("_g.costo")).alias("costo"))
     else:
-        found = _in_blocks(texts, listed, -(-total // BLOCK_NAMES), NOTE_WORDS)
+        found = _in_blocks(texts, listed, -(-total // BLOCK_NAMES), notes)
     found = cut(found).select(F.col("t").alias("_t"), F.col("id").alias("_id"), F.col("costo").alias("_costo"))
     kept = [c for c in df.columns if c not in (key, "costo")]
     j = df.join(small(found), F.col(column) == F.col("_t"), "left")

@@ -171,14 +171,14 @@ class Reader:
 
 
 class Canonical:
-    """Reads texts and finds the canonical names they look like, in a list that is at hand."""
+    """Reads texts and finds the canonical names they look like, in a list that is at hand, or in a part of one with the ``model`` of all."""
 
-    def __init__(self, names: dict[str, int]):
+    def __init__(self, names: dict[str, int], model: NameModel | None = None):
         self.names = {plain_form(unicodedata.normalize("NFC", n)): i for n, i in names.items()}
         self.own = defaultdict(set)
         for n, i in names.items():
             self.own[i].add(plain_form(n))
-        self.reader = Reader(NameModel.fit(list(names)))
+        self.reader = Reader(model or NameModel.fit(list(names)))
 
     def __call__(self, text: str) -> tuple[str, int]:
         """One form of a text, and the id of the name it is or -1."""
