@@ -10,7 +10,6 @@ Single readings that leave their source's unit by a power of ten are found again
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +37,14 @@ NO_OFFSET = 0.01
 LEAST, MOST = 0.05, 3.5
 
 
+def _looked_up(key: Column, values: dict[str, Column]) -> Column:
+    """The value of a key, null if it has none. The key is written once, not in a branch for each value, so that expressions of expressions stay short."""
+    return F.try_element_at(F.create_map(*[c for k, v in values.items() for c in (F.lit(k), v)]), key)
+
+
 def conversion(unit: Column) -> Column:
     """Reading per metre of diameter of a unit's name."""
-    return reduce(lambda acc, kv: acc.when(unit == kv[0], F.lit(kv[1])), list(CONVERSIONS.items())[1:], F.when(unit == "m", F.lit(1.0)))
+    return _looked_up(unit, {k: F.lit(v) for k, v in CONVERSIONS.items()})
 
 
 def nearest(ratio: Column, within: float, names: tuple[str, ...] = tuple(CONVERSIONS)) -> Column:
@@ -112,19 +116,22 @@ def _link(v: Column, metres: Column, tag: str) -> list[Column]:
     ]
 
 
-def _snapped(tag: str, least: int) -> Column:
-    """unit, scale, offset_m and links of a link's aggregates, null where nothing snaps.
+def _with_snapped(df: DataFrame, tag: str, least: int, name: str) -> DataFrame:
+    """``df`` with ``name``: unit, scale, offset_m and links of a link's aggregates, null where nothing snaps.
 
     The median ratio is taken if it is a known conversion. Else the readings may have an offset: as trees keep their order, the sixths of both sides
     belong together, and give a slope that outliers of up to a sixth on either end do not touch; the offset is what the medians then differ by.
+    Each step is a column of its own, as one expression of all would hold the slope some hundred times.
     """
     n, ratio, v, m = (F.col(f"_{c}{tag}") for c in "nsvm")
-    plain = nearest(ratio, SNAP_SOURCE)
     slope = F.try_divide(F.get(v, F.lit(2)) - F.get(v, F.lit(0)), F.get(m, F.lit(2)) - F.get(m, F.lit(0)))
-    sloped = nearest(slope, SNAP_SOURCE)
-    offset = F.get(v, F.lit(1)) / conversion(sloped) - F.get(m, F.lit(1))
-    fit = lambda unit, scale, off: F.struct(unit.alias("unit"), scale.alias("scale"), off.alias("offset_m"), n.alias("links"))
-    return F.when((n >= least) & plain.isNotNull(), fit(plain, ratio, F.lit(0.0))).when((n >= LEAST_AFFINE) & sloped.isNotNull() & (F.abs(offset) > NO_OFFSET), fit(sloped, slope, offset))
+    df = df.withColumns({"_plain": nearest(ratio, SNAP_SOURCE), "_slope": slope})
+    df = df.withColumn("_sloped", nearest(F.col("_slope"), SNAP_SOURCE))
+    df = df.withColumn("_offset", F.get(v, F.lit(1)) / conversion(F.col("_sloped")) - F.get(m, F.lit(1)))
+    fit = lambda unit, scale, off: F.struct(F.col(unit).alias("unit"), scale.alias("scale"), off.alias("offset_m"), n.alias("links"))
+    one = F.when((n >= least) & F.col("_plain").isNotNull(), fit("_plain", ratio, F.lit(0.0)))
+    one = one.when((n >= LEAST_AFFINE) & F.col("_sloped").isNotNull() & (F.abs("_offset") > NO_OFFSET), fit("_sloped", F.col("_slope"), F.col("_offset")))
+    return df.withColumn(name, one)
 
 
 def source_graph(readings: DataFrame, config: DataFrame) -> DataFrame:
@@ -137,15 +144,14 @@ def source_graph(readings: DataFrame, config: DataFrame) -> DataFrame:
     plain = readings.where(F.col("unit").isNull())
     told_by = config.select("censo_id", told(F.col("field_dap"), F.col("diameter_mode"), F.col("observacion")).alias("told")).groupBy("censo_id").agg(F.min("told").alias("told"))
     # Link 1: the same tree's implied diameter.
-    first = cut(
-        plain.groupBy("censo_id").agg(*_link(F.col("v"), F.col("implied"), "1"), (F.avg((F.col("dec") > 0).cast("int")) >= 0.5).alias("tenths"))
-        .select("censo_id", _snapped("1", LEAST_LINKS).alias("_a"), "tenths")
-    )
+    implied = plain.groupBy("censo_id").agg(*_link(F.col("v"), F.col("implied"), "1"), (F.avg((F.col("dec") > 0).cast("int")) >= 0.5).alias("tenths"))
+    first = cut(_with_snapped(implied, "1", LEAST_LINKS, "_a").select("censo_id", "_a", "tenths"))
     # Link 2: labelled readings of the same tree in other deliveries, for the sources that link 1 leaves open.
     open_ = small(first.where(F.col("_a").isNull()).select("censo_id"))
     coded = readings.where(F.col("codigo").isNotNull()).join(open_, "censo_id", "left_semi")
     trees = coded.where(F.col("unit").isNotNull()).groupBy("censo_id", "codigo").agg(F.percentile_approx(F.col("v") / conversion(F.col("unit")), F.lit(0.5), F.lit(100)).alias("_d"))
-    second = coded.where(F.col("unit").isNull()).join(trees, ["censo_id", "codigo"]).groupBy("censo_id").agg(*_link(F.col("v"), F.col("_d"), "2")).select("censo_id", _snapped("2", LEAST_LABELS).alias("_b"))
+    labelled = coded.where(F.col("unit").isNull()).join(trees, ["censo_id", "codigo"]).groupBy("censo_id").agg(*_link(F.col("v"), F.col("_d"), "2"))
+    second = _with_snapped(labelled, "2", LEAST_LABELS, "_b").select("censo_id", "_b")
     found = F.coalesce("_a", "_b")
     state = cut(
         first.join(second, "censo_id", "left").join(told_by, "censo_id", "left").select(
@@ -165,13 +171,14 @@ def source_graph(readings: DataFrame, config: DataFrame) -> DataFrame:
         # Telling counts where it agrees with the sizes.
         agrees = F.abs(F.log(F.col("_scale") / conversion(F.col("told")))) <= 2 * SNAP_SPECIES
         by_sizes = F.when(F.col("_links") >= LEAST_TREES, nearest(F.col("_scale"), SNAP_SPECIES))
-        unit = F.when(agrees, F.col("told")).otherwise(by_sizes)
-        new = F.col("unit").isNull() & unit.isNotNull()
+        new = F.col("_new")
         before = state
+        met = state.join(passed, "censo_id", "left").withColumn("_agrees", agrees)
+        met = met.withColumn("_unit", F.when(F.col("_agrees"), F.col("told")).otherwise(by_sizes)).withColumn("_new", F.col("unit").isNull() & F.col("_unit").isNotNull())
         state = cut(
-            state.join(passed, "censo_id", "left").select(
-                "censo_id", "tenths", "told", F.coalesce("unit", unit).alias("unit"), F.coalesce("scale", F.when(new, F.col("_scale"))).alias("scale"), F.coalesce("offset_m", F.when(new, F.lit(0.0))).alias("offset_m"),
-                F.coalesce("links", F.when(new, F.col("_links"))).alias("links"), F.coalesce("via", F.when(new, F.when(agrees, "declarado").otherwise("especie"))).alias("via"), new.alias("_new"),
+            met.select(
+                "censo_id", "tenths", "told", F.coalesce("unit", "_unit").alias("unit"), F.coalesce("scale", F.when(new, F.col("_scale"))).alias("scale"), F.coalesce("offset_m", F.when(new, F.lit(0.0))).alias("offset_m"),
+                F.coalesce("links", F.when(new, F.col("_links"))).alias("links"), F.coalesce("via", F.when(new, F.when(F.col("_agrees"), "declarado").otherwise("especie"))).alias("via"), "_new",
             )
         )
         drop(before)
@@ -214,7 +221,7 @@ def diameters(tree: DataFrame, dirty: DataFrame, config: DataFrame) -> DataFrame
     # The source's offset belongs to readings in its unit; straight lengths without one are multiplied as decimals, so that halves are exact.
     shift = F.when(F.col("unit").isNull() & single.isNull(), F.col("_off")).otherwise(0.0)
     linked = linked.withColumns({"_u": unit, "_shift": shift})
-    per = F.when(F.col("_u") == "mm", F.lit("1")).when(F.col("_u") == "cm", F.lit("10")).when(F.col("_u") == "m", F.lit("1000")).when(F.col("_u") == "in", F.lit("25.4")).cast("decimal(8,2)")
+    per = _looked_up(F.col("_u"), {k: F.lit(v).cast("decimal(8,2)") for k, v in {"mm": "1", "cm": "10", "m": "1000", "in": "25.4"}.items()})
     exact = F.when(F.col("_shift") == 0, F.col("exact") * per)
     loose = (F.col("v") / conversion(F.col("_u")) - F.col("_shift")) * 1000
     return linked.select("fid", "censo_id", "dap_m", F.coalesce(exact.cast("double"), loose).alias("dap_mm"), F.coalesce(F.round(exact, 0).cast("long"), F.floor(loose + 0.5)).alias("dap_redondo"), F.col("_u").alias("unidad"), "via")

@@ -196,3 +196,14 @@ def test_fill_error_on_hidden_values(spark):
         error[f] = (float(pd.Series(abs(mine - real) / real).median()), float(pd.Series(abs(rest - real) / real).median()))
     print("fill error, by groups and by the median of all:", error)
     assert all(a < 0.9 * b for a, b in error.values())
+
+
+def test_unit_expressions_stay_short(spark, data, monkeypatch):
+    """p4_found: no step's plan holds expressions many times over, which took the driver's memory and grew beyond what Java compiles."""
+    from silvara.plans import training
+
+    lengths = []
+    monkeypatch.setattr(units, "cut", lambda df, cut=units.cut: (lengths.append(len(df._jdf.queryExecution().optimizedPlan().toString())), cut(df))[1])
+    found = training.QUERIES["p4_found"](spark, data)
+    lengths.append(len(found._jdf.queryExecution().optimizedPlan().toString()))
+    assert len(lengths) >= 7 and max(lengths) < 20_000, lengths
