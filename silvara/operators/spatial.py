@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -274,10 +275,10 @@ def _box_cells(segments: DataFrame, levels: list[int], side: float, margin: floa
     return s.withColumn("_h", F.xxhash64("_k", "_gx", "_gy"))
 
 
-def crossing_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, side: float = 500.0, proper: bool = False, once: bool = False, places: bool = True) -> DataFrame:
+def crossing_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, side: float = 500.0, proper: bool = False, once: bool = False, places: bool = True, meet: bool = False) -> DataFrame:
     """Pairs of segments that meet, be it in an end or along a stretch; ``proper``: only those that cross in a point inside both. Each segment has a key and x1, y1, x2, y2.
 
-    ``once``: only pairs with the smaller key in ``a``, for a table met with itself; ``places``: with the ends of both. A segment's level is that of the cells, doubling from ``side``, that its box fits in, so it lies in four of
+    ``once``: only pairs with the smaller key in ``a``, for a table met with itself; ``places``: with the ends of both; ``meet``: instead of them with este and norte, where they meet. A segment's level is that of the cells, doubling from ``side``, that its box fits in, so it lies in four of
     them at most. Two segments are compared in the cells of the longer one and, of those in common, in the first only: no pair comes twice and none has to be kept to know that.
     """
     names = ("x1", "y1", "x2", "y2")
@@ -298,83 +299,167 @@ def crossing_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, side: flo
     here = here & (F.col("a_gx") == F.greatest("a_cx", "b_cx")) & (F.col("a_gy") == F.greatest("a_cy", "b_cy"))
     if once:
         here = (F.col(key_a) < F.col(key_b)) & here
-    kept = [key_a, key_b, *[f"{n}{c}" for n in "ab" for c in names if places]]
+    kept = [key_a, key_b, *(("este", "norte") if meet else [f"{n}{c}" for n in "ab" for c in names if places])]
     tasks = 8 * a.sparkSession.sparkContext.defaultParallelism
     numbers = all(df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long") for df, key in ((a, key_a), (b, key_b)))
     out = []
     for left, right in ((cells[0].where("a_l = a_k"), cells[1]), (cells[0].where("a_l < a_k"), cells[1].where("b_l = b_k"))):
-        known = right.limit(BOX_ROWS + 1).toPandas() if numbers else None
+        known = right.where(F.col(key_b).isNotNull()).limit(BOX_ROWS + 1).toArrow() if numbers else None
         if known is not None and len(known) <= BOX_ROWS:
-            out.append(_met_in_boxes(left.repartition(tasks), known, key_a, key_b, kept, proper, once, b.schema[key_b].dataType.simpleString()))
+            out.append(_met_in_boxes(left.where(F.col(key_a).isNotNull()).repartition(tasks), known, key_a, key_b, kept, proper, once, b.schema[key_b].dataType.simpleString()))
         else:
-            out.append(left.join(small(right), "_h").where(here & cross).select(*kept))
+            met = left.join(small(right), "_h").where(here & cross)
+            out.append((met.withColumns(dict(zip(("este", "norte"), _meeting()))) if meet else met).select(*kept))
     return out[0].unionByName(out[1])
 
 
-def _met_in_boxes(left: DataFrame, right: pd.DataFrame, key_a: str, key_b: str, kept: list[str], proper: bool, once: bool, kind_b: str) -> DataFrame:
-    """``kept`` of the pairs of ``crossing_pairs`` with the segments of ``right``, which go to all executors; the same conditions, a segment against all of its cell at a time."""
-    right = right[~right[key_b].isna()].sort_values(["_h", key_b])
-    sent = left.sparkSession.sparkContext.broadcast({c: right[c].to_numpy() for c in right.columns})
-    names = [f"{n}{c}" for n in "ab" for c in ("x1", "y1", "x2", "y2")]
+def _met_in_boxes(left: DataFrame, right: pa.Table, key_a: str, key_b: str, kept: list[str], proper: bool, once: bool, kind_b: str) -> DataFrame:
+    """``kept`` of the pairs of ``crossing_pairs`` with the segments of ``right``, which go to all executors; the same conditions, a segment against all of its cell at a time.
 
-    def turn(ax, ay, bx, by, cx, cy):  # noqa: ANN001, ANN202
-        return np.sign((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+    The segments of a cell are parted by whether it is the first of their box across and up: a cell is the first in common if it is so for either, so only the parts that hold for a segment are compared with it, and no pair twice.
+    """
+    r = {c: right.column(c).to_numpy() for c in right.column_names}
+    r["_c"] = (r["b_cx"] == r["b_gx"]) + 2 * (r["b_cy"] == r["b_gy"])
+    order = np.lexsort((r[key_b], r["_c"], r["_h"]))
+    names = [f"{n}{c}" for n in "ab" for c in ("x1", "y1", "x2", "y2")]
+    cell = ("b_k", "b_gx", "b_gy")
+    r = {c: r[c][order] for c in ("_h", "_c", key_b, *names[4:], *cell)}
+    hashes, first, which = np.unique(r["_h"], return_index=True, return_inverse=True)
+    counts = np.bincount(4 * which + r["_c"], minlength=4 * len(hashes)).reshape(-1, 4)
+    bounds = np.column_stack([first, first[:, None] + counts.cumsum(1)])
+    same = r["_h"][1:] == r["_h"][:-1]
+    mixed = bool(np.any(same & np.any([r[c][1:] != r[c][:-1] for c in cell], axis=0)))  # cells that share a hash
+    del r["_c"], r["_h"]
+    sent = left.sparkSession.sparkContext.broadcast((r, hashes, bounds))
+    meet = "este" in kept
 
     def on(cx, cy, ax, ay, bx, by):  # noqa: ANN001, ANN202
         return (cx >= np.minimum(ax, bx)) & (cx <= np.maximum(ax, bx)) & (cy >= np.minimum(ay, by)) & (cy <= np.maximum(ay, by))
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = sent.value
-        bx1, by1, bx2, by2 = (r[c].astype(float) for c in names[4:])
-        parts, held = [], 0
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, hashes, bounds = sent.value
+        bx1, by1, bx2, by2 = (r[c] for c in names[4:])
+        keys = r[key_b]
         for batch in batches:
-            batch = batch[~batch[key_a].isna()]
-            columns = {c: batch[c].to_numpy() for c in batch.columns}
-            first, last = np.searchsorted(r["_h"], columns["_h"], "left"), np.searchsorted(r["_h"], columns["_h"], "right")
-            for i, (s, e) in enumerate(zip(first, last)):
-                if once:
-                    s += np.searchsorted(r[key_b][s:e], columns[key_a][i], "right")
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            parts, ends, held = [], [], 0
+            at = np.searchsorted(hashes, columns["_h"])
+            there = np.flatnonzero((hashes[np.minimum(at, len(hashes) - 1)] == columns["_h"]) if len(hashes) else np.zeros(len(at), dtype=bool))
+            need = (columns["a_cx"] != columns["a_gx"]) + 2 * (columns["a_cy"] != columns["a_gy"])
+            for i in there:
+                edges = bounds[at[i]]
+                own = [columns[c][i] for c in ("a_k", "a_gx", "a_gy")]
+                if not mixed and any(r[c][edges[0]] != v for c, v in zip(cell, own)):
+                    continue
                 ax1, ay1, ax2, ay2 = (float(columns[c][i]) for c in names[:4])
                 dx, dy = ax2 - ax1, ay2 - ay1
-                side1 = dx * (by1[s:e] - ay1) - dy * (bx1[s:e] - ax1)
-                side1 *= dx * (by2[s:e] - ay1) - dy * (bx2[s:e] - ax1)
-                j = s + np.flatnonzero(side1 <= 0)  # those with an end on either side or on the line
-                if not len(j):
-                    continue
-                cell = (r["b_k"][j] == columns["a_k"][i]) & (r["b_gx"][j] == columns["a_gx"][i]) & (r["b_gy"][j] == columns["a_gy"][i])
-                j = j[cell & (np.maximum(columns["a_cx"][i], r["b_cx"][j]) == columns["a_gx"][i]) & (np.maximum(columns["a_cy"][i], r["b_cy"][j]) == columns["a_gy"][i])]
-                p, q = (ax1, ay1, ax2, ay2), (bx1[j], by1[j], bx2[j], by2[j])
-                turns = [turn(*p, *q[:2]), turn(*p, *q[2:]), turn(*q, *p[:2]), turn(*q, *p[2:])]
-                cross = (turns[0] * turns[1] < 0) & (turns[2] * turns[3] < 0)
-                if not proper:
-                    for t, end, line in zip(turns, (q[:2], q[2:], p[:2], p[2:]), (p, p, q, q)):
-                        cross |= (t == 0) & on(*end, *line)
-                j = j[cross]
-                if len(j):
-                    parts.append((np.full(len(j), i), j))
-                    held += len(j)
-                if held >= 100_000:
-                    yield taken(columns, r, parts)
-                    parts, held = [], 0
-            if parts:
-                yield taken(columns, r, parts)
-                parts, held = [], 0
-
-    def taken(columns: dict, r: dict, parts: list) -> pd.DataFrame:
-        i, j = (np.concatenate(x) for x in zip(*parts))
-        return pd.DataFrame({c: columns[c][i] if c in columns else r[c][j] for c in kept})
+                for c in range(4):
+                    if c & need[i] != need[i] or edges[c] == edges[c + 1]:
+                        continue
+                    s, e = edges[c], edges[c + 1]
+                    if once:
+                        s += np.searchsorted(keys[s:e], columns[key_a][i], "right")
+                    for x in range(s, e, 16_384):
+                        y = min(x + 16_384, e)
+                        side1 = _side(dx, dy, ax1, ay1, bx1[x:y], by1[x:y])
+                        side1 *= _side(dx, dy, ax1, ay1, bx2[x:y], by2[x:y])
+                        j = np.flatnonzero(side1 <= 0)  # those with an end on either side or on the line
+                        if not len(j):
+                            continue
+                        side1 = side1[j]
+                        j += x
+                        q = bx1[j], by1[j], bx2[j], by2[j]
+                        ex, ey = q[2] - q[0], q[3] - q[1]
+                        side2 = (ex * (ay1 - q[1]) - ey * (ax1 - q[0])) * (ex * (ay2 - q[1]) - ey * (ax2 - q[0]))
+                        cross = (side1 < 0) & (side2 < 0)
+                        zero = (side1 == 0) | (side2 == 0)  # ends on lines, or too small a product
+                        if mixed:
+                            here = np.all([r[c][j] == v for c, v in zip(cell, own)], axis=0)
+                            cross &= here
+                            zero &= here
+                        parts.append((i, j[cross]))
+                        ends.append((i, j[zero]))
+                        held += len(parts[-1][1]) + len(ends[-1][1])
+                        if held >= 50_000:
+                            yield taken(columns, r, parts, ends)
+                            parts, ends, held = [], [], 0
+            if held:
+                yield taken(columns, r, parts, ends)
+
+    def touching(p: list, q: list) -> np.ndarray:
+        """Which segments of two lists meet, by the sign of each turn."""
+        turns = [_turned(*p, *q[:2]), _turned(*p, *q[2:]), _turned(*q, *p[:2]), _turned(*q, *p[2:])]
+        cross = (turns[0] * turns[1] < 0) & (turns[2] * turns[3] < 0)
+        if not proper:
+            for t, end, line in zip(turns, (q[:2], q[2:], p[:2], p[2:]), (p, p, q, q)):
+                cross |= (t == 0) & on(*end, *line)
+        return cross
+
+    def flat(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat([i for i, _ in parts], [len(j) for _, j in parts]), np.concatenate([j for _, j in parts])
+
+    def taken(columns: dict, r: dict, parts: list, ends: list) -> pa.RecordBatch:
+        """A batch of the pairs that cross, and of those that need their ends looked at and meet."""
+        i, j = flat(ends)
+        met = touching([columns[c][i] for c in names[:4]], [r[c][j] for c in names[4:]])
+        i, j = (np.concatenate(x) for x in zip(flat(parts), (i[met], j[met])))
+        wanted = {c: columns[c][i] if c in columns else r[c][j] for c in kept[:2] + (names if meet else kept[2:])}
+        if meet:
+            wanted["este"], wanted["norte"] = _where_they_meet(*(wanted[c] for c in names))
+        return pa.RecordBatch.from_arrays([pa.array(wanted[c]) for c in kept], names=kept)
 
     kinds = {key_a: left.schema[key_a].dataType.simpleString(), key_b: kind_b}
-    return ship(left).mapInPandas(find, ", ".join(f"`{c}` {kinds.get(c, 'double')}" for c in kept))
+    return ship(left).mapInArrow(find, ", ".join(f"`{c}` {kinds.get(c, 'double')}" for c in kept))
 
 
-def crossing_points(pairs: DataFrame, key_a: str, key_b: str) -> DataFrame:
-    """Where the segments of ``crossing_pairs`` meet; of a stretch in common the middle."""
+def _side(dx: float, dy: float, ax: float, ay: float, cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
+    """On which side points lie of a line through a point; the same numbers as in ``_turn``."""
+    up = cy - ay
+    up *= dx
+    across = cx - ax
+    across *= dy
+    up -= across
+    return up
+
+
+def _turned(ax, ay, bx, by, cx, cy):  # noqa: ANN001, ANN202
+    """``_turn`` of arrays."""
+    return np.sign((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+
+
+def _meeting() -> list[Column]:
+    """Where the segments of a pair meet; of a stretch in common the middle."""
     x1, y1, x2, y2, x3, y3, x4, y4 = (F.col(c) for c in ("ax1", "ay1", "ax2", "ay2", "bx1", "by1", "bx2", "by2"))
     t = F.try_divide((x1 - x3) * (y3 - y4) - (y1 - y3) * (x3 - x4), (x1 - x2) * (y3 - y4) - (y1 - y2) * (x3 - x4))
     ends = [F.struct(x.alias("x"), y.alias("y")) for x, y in ((x1, y1), (x2, y2), (x3, y3), (x4, y4))]
     low, high = F.greatest(F.least(*ends[:2]), F.least(*ends[2:])), F.least(F.greatest(*ends[:2]), F.greatest(*ends[2:]))
-    este, norte = [F.coalesce(u + t * (v - u), (low[c] + high[c]) / 2) for u, v, c in ((x1, x2, "x"), (y1, y2, "y"))]
+    return [F.coalesce(u + t * (v - u), (low[c] + high[c]) / 2) for u, v, c in ((x1, x2, "x"), (y1, y2, "y"))]
+
+
+def _where_they_meet(x1, y1, x2, y2, x3, y3, x4, y4):  # noqa: ANN001, ANN202
+    """``_meeting`` of arrays: the same steps in the same order, so the same numbers."""
+    bx, by = x3 - x4, y3 - y4
+    across = (x1 - x2) * by - (y1 - y2) * bx
+    along = across == 0
+    t = ((x1 - x3) * by - (y1 - y3) * bx) / np.where(along, 1.0, across)
+    este, norte = x1 + t * (x2 - x1), y1 + t * (y2 - y1)
+    k = np.flatnonzero(along)
+    if len(k):
+        ends = [(x[k], y[k]) for x, y in ((x1, y1), (x2, y2), (x3, y3), (x4, y4))]
+
+        def ordered(p, q):  # noqa: ANN001, ANN202
+            less = (p[0] < q[0]) | ((p[0] == q[0]) & (p[1] <= q[1]))
+            return [np.where(less, u, v) for u, v in zip(p, q)], [np.where(less, v, u) for u, v in zip(p, q)]
+
+        (low_a, high_a), (low_b, high_b) = ordered(*ends[:2]), ordered(*ends[2:])
+        low, high = ordered(low_a, low_b)[1], ordered(high_a, high_b)[0]
+        este[k], norte[k] = (low[0] + high[0]) / 2, (low[1] + high[1]) / 2
+    return este, norte
+
+
+def crossing_points(pairs: DataFrame, key_a: str, key_b: str) -> DataFrame:
+    """Where the segments of ``crossing_pairs`` meet, be it told by ``meet`` or by the ends of both."""
+    este, norte = (F.col("este"), F.col("norte")) if "este" in pairs.columns else _meeting()
     return pairs.select(key_a, key_b, rounded(este).alias("este"), rounded(norte).alias("norte"))
 
 

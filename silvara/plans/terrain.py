@@ -38,9 +38,9 @@ def riparian_volume(s: SparkSession, d: str) -> DataFrame:
     return spatial.strip_class(p, _segments(s, d), [*KEY, "n", "volumen"], "ancho").groupBy("ancho").agg(F.sum("n").alias("n"), F.sum("volumen").alias("volumen"))
 
 
-def _crossings(s: SparkSession, d: str, proper: bool = True, places: bool = True) -> DataFrame:
+def _crossings(s: SparkSession, d: str, proper: bool = True, meet: bool = True) -> DataFrame:
     t = view(s, d, "tramos").select("sid", "x1", "y1", "x2", "y2")
-    return spatial.crossing_pairs(t, t.withColumnRenamed("sid", "sid2"), "sid", "sid2", proper=proper, once=True, places=places)
+    return spatial.crossing_pairs(t, t.withColumnRenamed("sid", "sid2"), "sid", "sid2", proper=proper, once=True, places=False, meet=meet)
 
 
 def ring_snap(s: SparkSession, d: str) -> DataFrame:
@@ -137,7 +137,7 @@ QUERIES = {
     "nearest_center": lambda s, d: spatial.nearest(view(s, d, "puntos"), view(s, d, "tramos").select("sid", F.col("x1").alias("px"), F.col("y1").alias("py")), KEY[0], "sid").groupBy("sid").agg(F.count("*").alias("n")),
     "riparian_class": riparian_class,
     "riparian_volume": riparian_volume,
-    "crossing_pairs": lambda s, d: _crossings(s, d, places=False).select("sid", "sid2"),
+    "crossing_pairs": lambda s, d: _crossings(s, d, meet=False).select("sid", "sid2"),
     "crossing_points": lambda s, d: spatial.crossing_points(_crossings(s, d), "sid", "sid2"),
     "meeting_pairs": lambda s, d: _crossings(s, d, False, False).select("sid", "sid2"),
     "meeting_points": lambda s, d: spatial.crossing_points(_crossings(s, d, False), "sid", "sid2"),
